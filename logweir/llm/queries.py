@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from logweir.llm import quality
+from logweir.llm import chat, mixing, quality
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op2_source_mixing": mixing.plan_sql(),
     "op3_quality_rules": quality.quality_sql(),
+    "op10_chat_formatting": chat.CHAT_SQL,
 }
