@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logweir.llm import chat, mixing, quality
+from logweir.llm import chat, mixing, quality, simhash
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_simhash": simhash.op4_simhash,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
