@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from logweir.llm import chat, mixing, quality, simhash
+from logweir.llm import chat, lines, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op7_hash_tree_sharding": sharding.op7_hash_tree_sharding,
+    "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
     "op2_source_mixing": mixing.plan_sql(),
     "op3_quality_rules": quality.quality_sql(),
+    "op5_line_dedup": lines.lines_sql(),
     "op10_chat_formatting": chat.CHAT_SQL,
 }
