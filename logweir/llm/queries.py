@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logweir.llm import chat, lines, mixing, packing, quality, sharding, simhash
+from logweir.llm import chat, lines, mixing, neighbours, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_projection_forest": neighbours.op1_projection_forest,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
