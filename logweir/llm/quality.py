@@ -93,7 +93,9 @@ def with_metrics(docs: DataFrame, out: str = "__q") -> DataFrame:
     """``docs`` with every metric of ``text`` in a struct column ``out``.
 
     Columns starting with ``__`` are reserved. The words, the sorted windows and the lines
-    are columns of their own below the final projection, so each is computed once a row.
+    are columns of their own below the final projection, so each is computed once a row. The
+    condition on the row number always holds; it keeps a later filter from being pushed below
+    the projection, which would evaluate these columns again inside every lambda.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -120,7 +122,7 @@ def with_metrics(docs: DataFrame, out: str = "__q") -> DataFrame:
     spans = F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.get(p, k + 1) - x))
     return staged.select(
         *kept,
-        F.struct(
+        F.when(F.monotonically_increasing_id() >= 0, F.struct(
             n.alias("n_words"),
             chars.alias("word_chars"),
             symbols.alias("n_symbols"),
@@ -133,7 +135,7 @@ def with_metrics(docs: DataFrame, out: str = "__q") -> DataFrame:
             ratio(dup, n_lines).alias("dup_line_ratio"),
             ratio(count(BULLET_LINE), n_lines).alias("bullet_line_ratio"),
             ratio(count(ELLIPSIS_LINE), n_lines).alias("ellipsis_line_ratio"),
-        ).alias(out),
+        )).alias(out),
     )
 
 
