@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import chat, lines, mixing, neighbours, packing, pii, quality, sharding, simhash
+from logweir.llm import chat, lines, mixing, neighbours, packing, pii, quality, scoring, sharding, simhash
 
 QUERIES = {
     "op1_projection_forest": neighbours.op1_projection_forest,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_masked_pseudo_likelihood": scoring.op6_masked_pseudo_likelihood,
     "op7_hash_tree_sharding": sharding.op7_hash_tree_sharding,
     "op8_pii_surrogates": pii.op8_pii_surrogates,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
