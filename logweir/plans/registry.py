@@ -1,4 +1,210 @@
 """Named queries over the event log and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweir.functions.routing import murmur2
+from logweir.operators import admin, groups, offsets, outbox, producer, txn
+from logweir.plans import inputs, oracles
+from logweir.sources.log import KEYS, event_log, event_records, table, topics, with_partitions
+from logweir.streaming import flows
+
+OnLog = Callable[[SparkSession, str, DataFrame], DataFrame]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _on_log(f: OnLog) -> Query:
+    return lambda spark, sf_dir: f(spark, sf_dir, event_log(spark, sf_dir))
+
+
+FETCHED = [*KEYS, "partition_offset", "key", "value", "timestamp_ms", "bytes"]
+START, BUDGET = 20, 4000
+
+
+def _fetch(committed: bool) -> Query:
+    return _on_log(lambda s, d, log: offsets.with_time(offsets.fetch(log, START, BUDGET, committed)).select(*FETCHED))
+
+
+def _marks(*columns: str) -> Query:
+    return _on_log(lambda s, d, log: offsets.watermarks(log).select(*KEYS, *columns))
+
+
+def _cleaned(log: DataFrame) -> DataFrame:
+    return txn.without_aborted(log, inputs.AS_OF_MS)
+
+
+def _fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    members = inputs.members(spark, sf_dir, False)
+    own = members.groupBy("group_id").agg(F.lit(3).alias("generation")).withColumn(
+        "state", F.when(F.col("group_id") == "group-2", "PreparingRebalance").otherwise("Stable")
+    )
+    requests = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("group-"), (k % 9).cast("string")).alias("group_id"),
+        F.concat(F.lit("m-"), F.lpad((k + k % 2 * 7).cast("string"), 8, "0")).alias("member_id"),
+        F.when(k % 5 == 0, -1).when(k % 5 == 1, 2).otherwise(3).alias("generation"),
+        k.alias("request"),
+    )
+    return groups.commit_fence(requests, own, members).select("request", "group_id", "member_id", "error_code")
+
+
+def _sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = inputs.members(spark, sf_dir, True)
+    before = groups.assign_range(members.filter("member_id NOT LIKE '%3'"), topics(spark))
+    return groups.assign_sticky(members, topics(spark), before)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.lit("..")).otherwise(F.col("p_name")).alias("name"))
+    return named.select("p_partkey", "name", admin.valid_name(F.col("name")).alias("valid"))
+
+
+def _create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "nation").select(
+        F.when(F.col("n_nationkey") % 6 == 0, "view").otherwise(F.concat_ws("-", F.lit("topic"), F.col("n_nationkey").cast("string"))).alias("topic"),
+        (F.col("n_nationkey") % 9).alias("new_partitions"),
+    )
+    return admin.create_partitions(wanted, topics(spark))
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda n, v: F.struct(n.alias("name"), v.cast("binary").alias("value"))
+    pairs = F.array(pair(F.lit("type"), F.col("event_type")), pair(F.lit("props"), F.col("props")), pair(F.lit("type"), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", admin.headers_json(pairs).alias("headers"))
+
+
+def _committed_txn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    events = inputs.txn_events(spark, sf_dir)
+    pending = log.filter("global_offset % 9 = 0").join(
+        events.select("txn_id", F.col("seq").alias("global_offset")), "global_offset"
+    ).select("txn_id", F.lit("group-1").alias("group_id"), *KEYS, (F.col("partition_offset") + 1).alias("committed_offset"), F.col("global_offset").alias("seq"))
+    return txn.commit_offsets(inputs.commits(log), pending, txn.latest_state(events))
+
+
+def _timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = txn.latest_state(inputs.txn_events(spark, sf_dir))
+    limits = states.select("txn_id", (F.length("txn_id") * 20_000_000).cast("long").alias("timeout_ms"))
+    return txn.timed_out(states, limits, inputs.AS_OF_MS)
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    events = inputs.txn_events(spark, sf_dir)
+    live = events.groupBy((F.col("user_id") % 5).alias("producer_id")).agg(F.max("at_ms").alias("last_active_ms"))
+    return admin.metrics_overview(
+        log, topics(spark), inputs.members(spark, sf_dir, True), groups.committed(inputs.commits(log)), live,
+        txn.latest_state(events), inputs.outbox(log), inputs.AS_OF_MS,
+    )
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return outbox.status(topics(spark), inputs.config(spark), outbox.metrics(inputs.outbox(log)), log)
+
+
+def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return outbox.readable(offsets.watermarks(log), inputs.config(spark), outbox.dead_letters(inputs.outbox(log)), True)
+
+
+def _streamed(kind: str) -> Query:
+    """A flow over the log's records, run to the end of its input and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        top = os.path.join(base, f"logweir-{kind}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}")
+        source = f"{top}/in"
+        made = {"append": lambda: event_records(spark, sf_dir), "dedup": lambda: inputs.batches(event_log(spark, sf_dir))}
+        rows = made.get(kind, lambda: event_log(spark, sf_dir))()
+        order = "arrival" if kind == "dedup" else "global_offset"
+        rows.repartitionByRange(4, order).write.parquet(source)
+        incoming = flows.stream(spark, source, rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+        if kind == "append":
+            flows.append_offsets(incoming, f"{top}/log", f"{top}/state").awaitTermination()
+            return spark.read.parquet(f"{top}/log").select(*KEYS, "global_offset", "partition_offset")
+        if kind == "forward":
+            out = flows.forward_stream(incoming, 50).select(*KEYS, "partition_offset").writeStream.format("parquet").option("path", f"{top}/out")
+        elif kind == "dedup":
+            out = flows.deduplicated(incoming).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{top}/out/batch={i}"))
+        else:
+            out = flows.watermark_stream(incoming).writeStream.outputMode("complete").foreachBatch(
+                lambda b, i: b.write.mode("overwrite").parquet(f"{top}/out")
+            )
+        out.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.parquet(f"{top}/out")
+        if kind == "lag":
+            current = groups.committed(inputs.commits(event_log(spark, sf_dir)))
+            return groups.lag(current, found)
+        return found.drop("batch")
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "log_scan": _on_log(lambda s, d, log: log),
+    "partition_route": lambda s, d: event_records(s, d).select("global_offset", "key", murmur2(F.col("key")).alias("hash"), "partition_id"),
+    "key_distribution": _on_log(lambda s, d, log: admin.row_distinct(log)),
+    "read_committed_fetch": _fetch(True),
+    "read_uncommitted_fetch": _fetch(False),
+    "high_watermark": _marks("high_watermark"),
+    "earliest_offset": _marks("earliest_offset"),
+    "last_stable_offset": _marks("last_stable_offset"),
+    "offset_for_timestamp": _on_log(lambda s, d, log: offsets.offset_for_time(log, s.createDataFrame([(p,) for p in inputs.PROBES], "probe_ms long"))),
+    "offset_gaps": _on_log(lambda s, d, log: offsets.gaps(_cleaned(log))),
+    "offset_boundaries": _on_log(lambda s, d, log: log.groupBy(*KEYS).agg(F.min("partition_offset").alias("low"), (F.max("partition_offset") + 1).alias("high"))),
+    "offset_arrays": _on_log(lambda s, d, log: log.filter("txn_state = 'pending'").groupBy(*KEYS).agg(F.array_join(F.sort_array(F.collect_list("partition_offset")), ",").alias("pending"))),
+    "global_order_scan": _on_log(lambda s, d, log: log.filter("global_offset > 500").select("global_offset", *KEYS, "partition_offset").orderBy("global_offset")),
+    "topic_metadata": _on_log(lambda s, d, log: with_partitions(topics(s), log)),
+    "partition_metadata": lambda s, d: admin.partition_metadata(topics(s)),
+    "committed_offsets": _on_log(lambda s, d, log: groups.committed(inputs.commits(log))),
+    "fetch_all_offsets": _on_log(lambda s, d, log: groups.committed(inputs.commits(log)).filter("group_id = 'group-1'").join(topics(s), "topic_id").select("topic", "partition_id", "committed_offset").orderBy("topic", "partition_id")),
+    "consumer_lag": _on_log(lambda s, d, log: groups.lag(groups.committed(inputs.commits(log)), offsets.watermarks(log))),
+    "uncommitted_partitions": _on_log(lambda s, d, log: admin.partition_metadata(topics(s)).join(groups.committed(inputs.commits(log.filter("global_offset % 5 = 0"))).filter("group_id = 'group-2'"), KEYS, "left_anti")),
+    "commit_fence": _fence,
+    "delete_group_offsets": _on_log(lambda s, d, log: groups.committed(inputs.commits(log), s.createDataFrame([("group-1",)], "group_id string"))),
+    "expired_members": lambda s, d: groups.expired_members(inputs.members(s, d, True), inputs.AS_OF_MS).select("group_id", "member_id"),
+    "assign_range": lambda s, d: groups.assign_range(inputs.members(s, d, True), topics(s)),
+    "assign_roundrobin": lambda s, d: groups.assign_roundrobin(inputs.members(s, d, False), topics(s)),
+    "assign_sticky": _sticky,
+    "common_protocol": lambda s, d: groups.common_protocol(inputs.members(s, d, True)),
+    "sequence_validate": _on_log(lambda s, d, log: producer.sequence_outcomes(inputs.batches(log))),
+    "dedup_log": _on_log(lambda s, d, log: producer.deduplicated(inputs.batches(log)).select("producer_id", *KEYS, "base_sequence")),
+    "next_sequence": _on_log(lambda s, d, log: producer.next_sequence(producer.sequence_outcomes(inputs.batches(log)))),
+    "epoch_fence": _on_log(lambda s, d, log: producer.epoch_fence(log.select("global_offset", F.col("producer_id"), (F.col("global_offset") % 3).cast("int").alias("producer_epoch")), s.createDataFrame([(i, i % 3) for i in range(4)], "producer_id long, producer_epoch int")).select("global_offset", "error_code")),
+    "txn_latest_state": lambda s, d: txn.latest_state(inputs.txn_events(s, d)),
+    "txn_visibility": lambda s, d: txn.visibility(inputs.txn_events(s, d)),
+    "txn_pending_offsets_commit": _committed_txn_offsets,
+    "txn_timeouts": _timeouts,
+    "aborted_cleanup": _on_log(lambda s, d, log: _cleaned(log).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))),
+    "hwm_after_cleanup": _on_log(lambda s, d, log: offsets.watermarks(_cleaned(log).filter("partition_offset < 30"), offsets.counters(log)).select(*KEYS, "high_watermark", "earliest_offset")),
+    "forward_sample_10": _on_log(lambda s, d, log: inputs.samples(log, 10)),
+    "forward_sample_50": _on_log(lambda s, d, log: inputs.samples(log, 50)),
+    "forward_sample_90": _on_log(lambda s, d, log: inputs.samples(log, 90)),
+    "outbox_enqueue": _on_log(lambda s, d, log: outbox.enqueue(log, inputs.config(s), inputs.outbox(log.filter("global_offset % 2 = 0")))),
+    "outbox_due": _on_log(lambda s, d, log: outbox.due(inputs.outbox(log), log.filter("global_offset % 17 <> 0"), inputs.AS_OF_MS).select(*outbox.ID, "retry_count")),
+    "outbox_dead_letters": _on_log(lambda s, d, log: outbox.dead_letters(inputs.outbox(log)).select(*outbox.ID)),
+    "forward_metrics": _on_log(lambda s, d, log: outbox.metrics(inputs.outbox(log))),
+    "topic_forward_status": _status,
+    "replay_range": _on_log(lambda s, d, log: outbox.replay(log, inputs.outbox(log), 1, 10, 40).select(*outbox.ID, "external_offset", "retry_count")),
+    "external_primary_reads": _external,
+    "metrics_overview": _metrics,
+    "bytes_per_topic": _on_log(lambda s, d, log: admin.bytes_per_topic(log)),
+    "record_size_estimate": _on_log(lambda s, d, log: log.select("global_offset", admin.record_size(F.col("key"), F.col("value"), F.create_map(F.lit("t"), F.col("topic"))).alias("size"))),
+    "topic_name_validate": _names,
+    "create_partitions_check": _create,
+    "delete_topic_cascade": _on_log(lambda s, d, log: admin.delete_topics(log, s.createDataFrame([(2,), (5,)], "topic_id int")).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))),
+    "headers_json": _headers,
+    "nearest_rank_percentiles": lambda s, d: admin.nearest_rank(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", (50, 95, 99)),
+    "stream_append_offsets": _streamed("append"),
+    "stream_dedup": _streamed("dedup"),
+    "stream_lag": _streamed("lag"),
+    "stream_forward": _streamed("forward"),
+}
+ORACLES: dict[str, str] = oracles.ORACLES
