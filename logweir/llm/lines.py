@@ -234,8 +234,8 @@ class LineIndex:
         return rows.mapInArrow(probe, "__id string, pos int, h1 long, h2 long")
 
     def common_lines(self, docs: DataFrame) -> DataFrame:
-        """__id (of the text) and the positions of its common lines, for texts that have any."""
-        rows = docs.select(text_id(F.col("text")).alias("__id"), keyed_lines(F.col("text")).alias("__lines"))
+        """__id (of the row) and the positions of its common lines, for texts that have any."""
+        rows = docs.select(row_id().alias("__id"), keyed_lines(F.col("text")).alias("__lines"))
         common = self.refs.filter(F.col("n_docs") >= self.threshold).select(
             "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         )
@@ -249,11 +249,11 @@ class LineIndex:
     def marked(self, docs: DataFrame) -> DataFrame:
         """``docs`` with __drop: the positions of the lines that the index calls common, or null.
 
-        What is dropped depends on the text alone, so texts are matched by a 128-bit digest
-        and copies share their answer.
+        What is dropped depends on the text alone; rows are matched by a 128-bit digest of id and
+        text, so that a large group of copies is spread like any other rows.
         """
         drops = self.common_lines(docs).hint("shuffle_hash")
-        return docs.withColumn("__id", text_id(F.col("text"))).join(drops, "__id", "left").drop("__id")
+        return docs.withColumn("__id", row_id()).join(drops, "__id", "left").drop("__id")
 
     def drop_common(self, docs: DataFrame) -> DataFrame:
         cut = self.marked(docs)
@@ -262,8 +262,8 @@ class LineIndex:
         )
 
 
-def text_id(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+def row_id() -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit(""))))
 
 
 def kept_text() -> Column:
