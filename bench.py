@@ -18,6 +18,8 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    here = os.path.dirname(os.path.abspath(__file__))
+    os.environ["PYTHONPATH"] = f"{here}:{os.environ.get('PYTHONPATH', '')}"  # for Python workers
     spark = (
         SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
         .config("spark.sql.shuffle.partitions", "8")
