@@ -77,10 +77,15 @@ def _window_keys(w: Column) -> Column:
 
 
 def _repeated_starts(w: Column, s: Column) -> Column:
-    """Starts of the windows whose hash a neighbour in the sorted keys ``s`` shares."""
+    """Starts of the windows whose hash, and words, a neighbour in the sorted keys ``s`` shares."""
 
     def of(bits: int) -> Column:
-        same = lambda x, y: F.shiftright(x.bitwiseXOR(y), bits) == 0
+        word = lambda x, k: F.get(w, x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + k)
+
+        def same(x: Column, y: Column) -> Column:
+            alike = [word(x, k) == word(y, k) for k in range(3)]
+            return reduce(lambda a, b: a & b, alike, F.shiftright(x.bitwiseXOR(y), bits) == 0)
+
         again = F.exists(F.transform(s, lambda x, j: same(x, F.get(s, j - 1))), lambda x: x)
         found = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
         starts = F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
