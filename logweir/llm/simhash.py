@@ -11,7 +11,8 @@ no link can be missed. Inside a file the pivot distance table - the Hamming dist
 every member to fixed reference fingerprints - discards a pair when any coordinate differs by
 more than k, which by the triangle inequality loses no link; survivors are verified. A file
 is searched breadth first over its unvisited members and gives the edges of a spanning
-forest, not its pairs: a dense ball of near copies costs about one pass over its members.
+forest, not its pairs: a dense ball of near copies costs about one pass over its members. A
+file too large for one task is cut into blocks, every two of which meet.
 Components of the edges are found by alternating large-star and small-star steps, each one
 shuffle, written to the shared checkpoint folder.
 
@@ -94,8 +95,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest_of(members: np.ndarray, max_bits: int, refs: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning-forest edges (as positions) of the links among the members of one file."""
+#: Members of a file that one task compares with as many others.
+FILE_BLOCK = 16_384
+
+
+def met(filed: DataFrame, keys: list[str], member: str, *carried: str) -> DataFrame:
+    """One row for every two blocks of a file: split and the lists ``member`` and ``carried``.
+
+    A file of more than ``FILE_BLOCK`` members is cut into blocks by hash and every two blocks
+    meet in a row of their own, so memory stays bounded and no pair is left out. Rows are spread
+    by file and blocks, so that a large file is the work of many tasks. The first ``split``
+    members are of one block and the rest of the other; it is zero where a block meets itself.
+    """
+    sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = sizes.select(*keys, F.ceil(F.col("n") / FILE_BLOCK).cast("int").alias("blocks"))
+    own, other = F.col("own"), F.col("other")
+    spread = (
+        filed.join(blocks, keys)
+        .withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(*keys, member, *carried, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).alias("late"))
+        .repartition(*keys, "i", "j")
+    )
+    rows = spread.groupBy(*keys, "i", "j").agg(F.sort_array(F.collect_list(F.struct("late", member, *carried))).alias("m"))
+    first = F.size(F.filter("m", lambda x: ~x["late"]))
+    split = F.when(F.col("i") == F.col("j"), 0).otherwise(first).cast("int")
+    listed = lambda c: F.col("m")[c].alias(c)
+    return rows.filter(F.size("m") > 1).select(split.alias("split"), *map(listed, (member, *carried)))
+
+
+def forest_of(members: np.ndarray, split: int, max_bits: int, refs: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning-forest edges (as positions) of the links in a file, or between its first ``split`` members and the rest."""
     table_ = np.bitwise_count(members[:, None] ^ refs[None, :]).astype(np.int16)
     left = np.arange(len(members))
     edges: list[tuple[int, int]] = []
@@ -103,12 +133,14 @@ def forest_of(members: np.ndarray, max_bits: int, refs: np.ndarray) -> list[tupl
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.flatnonzero(np.abs(table_[left] - table_[at]).max(axis=1) <= max_bits)
-            near = near[np.bitwise_count(members[left[near]] ^ members[at]) <= max_bits]
-            found = left[near].tolist()
+            other = left if split == 0 else left[(left < split) != (at < split)]
+            near = other[np.abs(table_[other] - table_[at]).max(axis=1) <= max_bits]
+            near = near[np.bitwise_count(members[near] ^ members[at]) <= max_bits]
+            found = near.tolist()
             edges += [(at, x) for x in found]
             queue += found
-            left = np.delete(left, near)
+            if found:
+                left = np.setdiff1d(left, near, assume_unique=True)
     return edges
 
 
@@ -123,12 +155,11 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
     filed = prints.select("fp", F.posexplode(masks).alias("file", "mask")).select(
         "fp", "file", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
     )
-    files = filed.groupBy("file", "key").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     refs = pivots()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
+            splits, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             sizes = np.diff(offsets)
@@ -141,7 +172,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
             a, b = [x[ok].view(np.int64)], [y[ok].view(np.int64)]
             for i in np.flatnonzero(sizes > 2).tolist():
                 members = flat[offsets[i] : offsets[i + 1]]
-                if edges := forest_of(members, max_bits, refs):
+                if edges := forest_of(members, int(splits[i]), max_bits, refs):
                     pairs = members.view(np.int64)[np.array(edges)]
                     a.append(pairs[:, 0])
                     b.append(pairs[:, 1])
@@ -149,7 +180,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
                 [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
             )
 
-    found = files.select("members").mapInArrow(search, "a long, b long")
+    found = met(filed, ["file", "key"], "fp").mapInArrow(search, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -203,8 +234,6 @@ WORDS = 4
 SKETCH_BITS = 48
 #: The smallest shingle hashes of a text; texts of similarity 0.8 share one of four but for 0.2**4.
 ANCHORS = 4
-#: Members of a file that one task compares with as many others.
-FILE_BLOCK = 16_384
 
 
 def sketch_of(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
@@ -280,44 +309,22 @@ def wide_forest(sketch: np.ndarray, split: int, max_bits: int, refs: np.ndarray)
 def wide_links(nodes: DataFrame, max_bits: int = SKETCH_BITS) -> DataFrame:
     """(a, b) with a > b: edges that connect the linked nodes (node, sketch, anchors).
 
-    Nodes are filed under each anchor. A file of more than ``FILE_BLOCK`` members is cut into
-    blocks by hash, and every two blocks meet in a task of their own: memory stays bounded and
-    no pair is left out.
+    Nodes are filed under each anchor.
     """
     filed = nodes.select("node", "sketch", F.explode("anchors").alias("key"))
-    sizes = filed.groupBy("key").count().filter("count > 1")
-    blocks = F.ceil(F.col("count") / FILE_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = (
-        filed.join(sizes.select("key", blocks.alias("blocks")), "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("own") != F.least("own", "other"), "node", "sketch"))).alias("m"))
-        .filter(F.size("m") > 1)
-    )
     refs = np.random.default_rng(0).integers(0, 1 << 64, (N_PIVOTS, WORDS), np.uint64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for second, names, sketch in zip(*(batch.column(n) for n in ("second", "nodes", "sketches"))):
-                flat = np.array(sketch.as_py(), np.int64).view(np.uint64)
-                ids, split = names.as_py(), second.as_py()
-                for x, y in wide_forest(flat, split, max_bits, refs):
+            for split, names, sketch in zip(*(batch.column(n) for n in ("split", "node", "sketch"))):
+                flat, ids = np.array(sketch.as_py(), np.int64).view(np.uint64), names.as_py()
+                for x, y in wide_forest(flat, split.as_py(), max_bits, refs):
                     a.append(max(ids[x], ids[y]))
                     b.append(min(ids[x], ids[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
-    members = met.select(
-        F.when(F.col("i") == F.col("j"), 0)
-        .otherwise(F.size(F.filter("m", lambda x: ~x["col1"])))
-        .cast("int")
-        .alias("second"),
-        F.transform("m", lambda x: x["node"]).alias("nodes"),
-        F.transform("m", lambda x: x["sketch"]).alias("sketches"),
-    )
-    return members.mapInArrow(search, "a string, b string").distinct()
+    return met(filed, ["key"], "node", "sketch").mapInArrow(search, "a string, b string").distinct()
 
 
 def drop_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = SKETCH_BITS) -> DataFrame:

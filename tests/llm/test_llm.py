@@ -97,7 +97,9 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.classes(none).count() == 0
 
 
-def test_links_miss_nothing(spark):
+@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, 3])
+def test_links_miss_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "FILE_BLOCK", block)
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 40)
     flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 7), replace=False)) for b in np.repeat(base, 8)]
@@ -112,10 +114,12 @@ def test_links_miss_nothing(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_drop_copies_keeps_one_of_each(spark, odd, none):
+@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, 1])
+def test_drop_copies_keeps_one_of_each(spark, odd, none, monkeypatch, block):
     words = [f"w{i}" for i in range(400)]
     near = words[:200] + ["changed"] + words[201:]
     texts = [" ".join(words), " ".join(words), " ".join(near), " ".join(f"v{i}" for i in range(300))]
+    monkeypatch.setattr(simhash, "FILE_BLOCK", block)
     assert sorted(r["doc_id"] for r in simhash.drop_copies(docs_of(spark, texts)).collect()) == [0, 3]
     kept = simhash.drop_copies(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {3, 5, 7}
