@@ -24,7 +24,7 @@ other columns are ignored by ``classes`` and kept by ``drop_copies``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -225,19 +225,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Wide sketches: near-duplicates by similarity of word shingles rather than by a bit radius.
 
-#: Shingle length and sketch width of near-duplicate stages.
+#: Shingle length of near-duplicate stages, the Jaccard similarity that links, and sketch width.
 SHINGLE = 5
+SIMILARITY = 0.8
 WORDS = 4
-#: A pair of shingle sets with Jaccard similarity J has cosine 2J / (1 + J); at 0.8 the angle
-#: is 27 degrees, 39 of 256 bits on average with a deviation of 5.7. The radius is set 1.6
-#: deviations above, so pairs of similarity 0.8 are linked 19 times in 20 and higher ones more surely.
-SKETCH_BITS = 48
-#: The smallest shingle hashes of a text; texts of similarity 0.8 share one of four but for 0.2**4.
-ANCHORS = 4
-
-
-def sketch_of(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list[int]]:
-    """Four fingerprint words over a text's distinct shingles, and its anchors, as signed longs."""
+#: Sketches only choose which pairs are compared. A pair of shingle sets with Jaccard similarity J
+#: has cosine 2J / (1 + J) or more; at 0.8 the angle is 27 degrees, 39 of 256 bits on average with
+#: a deviation of 5.7. The radius is 4.4 deviations above: of pairs at 0.8 it loses 2 in 100,000,
+#: of sets under 25 shingles 1 in 10,000 (5 in 1,000 where one has four and the other five).
+SKETCH_BITS = 64
+#: The smallest shingle hashes of a text; texts of similarity 0.8 share one of eight but for 0.2**8.
+ANCHORS = 8
+#: Shingle hashes of a candidate class that one task compares with as many others.
+SET_BLOCK = 1 << 22
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 hashes of a text's distinct shingles, sorted; never empty."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = max(1, len(tokens) - shingle + 1)
     joined = b" ".join(tokens)
@@ -247,7 +251,11 @@ def sketch_of(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list
     else:
         starts = np.concatenate(([0], ends[: n - 1])).tolist()
         parts = [joined[a:b] for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+
+
+def sketch_of(hashes: np.ndarray) -> list[int]:
+    """Four fingerprint words over distinct shingle hashes, as signed longs."""
     words = []
     for w in range(WORDS):
         mixed = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * w)
@@ -259,24 +267,33 @@ def sketch_of(text: str | None, shingle: int = SHINGLE) -> tuple[list[int], list
             bits = np.unpackbits(mixed[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(axis=0, dtype=np.int64)
         words.append(_signed(sum(1 << i for i in np.flatnonzero(2 * counts > len(mixed)).tolist())))
-    return words, hashes[:ANCHORS].view(np.int64).tolist()
+    return words
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """__row (id and text digest), doc_id, sketch and anchors of every row."""
+    """__row (id and text digest), doc_id, node, size, sketch and anchors of every row.
+
+    ``node`` is a digest of the whole shingle set, ``size`` the number of its shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
         for batch in batches:
-            made = [sketch_of(t.as_py(), shingle) for t in batch.column(2)]
-            lists = pa.list_(pa.int64())
+            node, size, sketch, anchors = [], [], [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                node.append(xxhash.xxh3_128_hexdigest(hashes.astype("<u8").tobytes()))
+                size.append(len(hashes))
+                sketch.append(sketch_of(hashes))
+                anchors.append(hashes[:ANCHORS].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([m[0] for m in made], lists), pa.array([m[1] for m in made], lists)],
-                names=["__row", "doc_id", "sketch", "anchors"],
+                [batch.column(0), batch.column(1), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(sketch, lists), pa.array(anchors, lists)],
+                names=["__row", "doc_id", "node", "size", "sketch", "anchors"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(row_id().alias("__row"), "doc_id", "text").mapInArrow(
-        run, f"__row string, doc_id {kind}, sketch array<bigint>, anchors array<bigint>"
+        run, f"__row string, doc_id {kind}, node string, size bigint, sketch array<bigint>, anchors array<bigint>"
     )
 
 
@@ -285,53 +302,171 @@ def row_id() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.md5(F.coalesce("text", F.lit(""))))
 
 
-def wide_forest(sketch: np.ndarray, split: int, max_bits: int, refs: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning-forest edges of the links in a file, or between its first ``split`` members and the rest."""
-    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
-    table_ = apart(sketch[:, None, :], refs[None, :, :])
-    left = np.arange(len(sketch))
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def _spanning(n: int, split: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning-forest edges of a relation among ``n`` members, or between the first ``split`` and the rest.
+
+    ``near(at, other)`` picks from ``other`` the members related to ``at``.
+    """
+    left = np.arange(n)
     edges: list[tuple[int, int]] = []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            other = left if split == 0 else left[(left < split) != (at < split)]
-            near = other[np.abs(table_[other] - table_[at]).max(axis=1) <= max_bits]
-            near = near[apart(sketch[near], sketch[at]) <= max_bits]
-            found = near.tolist()
+            related = near(at, left if split == 0 else left[(left < split) != (at < split)])
+            found = related.tolist()
             edges += [(at, x) for x in found]
             queue += found
             if found:
-                left = np.setdiff1d(left, near, assume_unique=True)
+                left = np.setdiff1d(left, related, assume_unique=True)
     return edges
 
 
-def wide_links(nodes: DataFrame, max_bits: int = SKETCH_BITS) -> DataFrame:
-    """(a, b) with a > b: edges that connect the linked nodes (node, sketch, anchors).
+def _of_like_size(sizes: np.ndarray, at: int, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets of a Jaccard similarity are as similar in size."""
+    low, high = np.minimum(sizes[other], sizes[at]), np.maximum(sizes[other], sizes[at])
+    return other[low >= similarity * high - 1e-9]
+
+
+def wide_forest(
+    sketch: np.ndarray, sizes: np.ndarray, split: int, max_bits: int, similarity: float, refs: np.ndarray
+) -> list[tuple[int, int]]:
+    """Spanning-forest edges of the candidate pairs in a file, or between its first ``split`` members and the rest."""
+    table_ = _apart(sketch[:, None, :], refs[None, :, :])
+
+    def near(at: int, other: np.ndarray) -> np.ndarray:
+        other = _of_like_size(sizes, at, other, similarity)
+        other = other[np.abs(table_[other] - table_[at]).max(axis=1) <= max_bits]
+        return other[_apart(sketch[other], sketch[at]) <= max_bits]
+
+    return _spanning(len(sketch), split, near)
+
+
+def exact_forest(
+    sets: list[np.ndarray], sketch: np.ndarray, split: int, max_bits: int, similarity: float
+) -> list[tuple[int, int]]:
+    """Spanning-forest edges of the candidate pairs whose sorted shingle sets are that similar."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def near(at: int, other: np.ndarray) -> np.ndarray:
+        other = _of_like_size(sizes, at, other, similarity)
+        other = other[_apart(sketch[other], sketch[at]) <= max_bits]
+        mine, kept = sets[at], []
+        # As many sets at once as about CHUNK hashes take.
+        step = max(1, CHUNK // len(mine))
+        for some in (other[i : i + step] for i in range(0, len(other), step)):
+            joined = np.concatenate([sets[x] for x in some.tolist()])
+            at_or_after = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+            starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+            shared = np.add.reduceat((mine[at_or_after] == joined).astype(np.int64), starts)
+            kept.append(some[shared >= similarity * (sizes[some] + len(mine) - shared) - 1e-9])
+        return np.concatenate(kept) if kept else other
+
+    return _spanning(len(sets), split, near)
+
+
+def wide_links(nodes: DataFrame, max_bits: int = SKETCH_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) with a > b: edges that connect the candidate pairs of nodes (node, size, sketch, anchors).
 
-    Nodes are filed under each anchor.
+    Nodes are filed under each anchor. A candidate pair meets in a file, is near by sketch and
+    alike in size; whether it is similar is left to ``similar_links``.
     """
-    filed = nodes.select("node", "sketch", F.explode("anchors").alias("key"))
+    filed = nodes.select("node", "size", "sketch", F.explode("anchors").alias("key"))
     refs = np.random.default_rng(0).integers(0, 1 << 64, (N_PIVOTS, WORDS), np.uint64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for split, names, sketch in zip(*(batch.column(n) for n in ("split", "node", "sketch"))):
+            for split, names, size, sketch in zip(*(batch.column(n) for n in ("split", "node", "size", "sketch"))):
                 flat, ids = np.array(sketch.as_py(), np.int64).view(np.uint64), names.as_py()
-                for x, y in wide_forest(flat, split.as_py(), max_bits, refs):
+                for x, y in wide_forest(flat, np.array(size.as_py()), split.as_py(), max_bits, similarity, refs):
                     a.append(max(ids[x], ids[y]))
                     b.append(min(ids[x], ids[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
-    return met(filed, ["key"], "node", "sketch").mapInArrow(search, "a string, b string").distinct()
+    return met(filed, ["key"], "node", "size", "sketch").mapInArrow(search, "a string, b string").distinct()
 
 
-def drop_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = SKETCH_BITS) -> DataFrame:
+def similar_links(
+    docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, max_bits: int = SKETCH_BITS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(a, b) with a > b: edges that connect the nodes whose shingle sets have that Jaccard similarity.
+
+    ``nodes`` has node, size, sketch, anchors and the ``__row`` of a text with that shingle set.
+    Classes of candidates are found first. The shingle sets of a class then meet, each hashed
+    from its text again, and are compared whole. A class of more than ``SET_BLOCK`` hashes is
+    cut into blocks, every two of which meet, so memory is bounded and no pair is left out.
+    """
+    trees = components(wide_links(nodes, max_bits, similarity))
+    grouped = checkpointed(trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct()))
+    asked = nodes.select("node", "size", "sketch", "__row").join(grouped, "node")
+    blocks = asked.groupBy("root").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("blocks"))
+    texts = docs.select(row_id().alias("__row"), "text").join(asked.join(blocks, "root").drop("size"), "__row")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(made, pa.list_(pa.int64()))], names=["root", "blocks", "node", "sketch", "hashes"]
+            )
+
+    sets = texts.select("root", "blocks", "node", "sketch", "text").mapInArrow(
+        hashed, "root string, blocks int, node string, sketch array<bigint>, hashes array<bigint>"
+    )
+    own, other = F.col("own"), F.col("other")
+    meeting = (
+        sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("root", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).alias("late"), "node", "sketch", "hashes")
+        .repartition("root", "i", "j")
+        .sortWithinPartitions("root", "i", "j", "late", "node")
+    )
+
+    def compared(rows: pa.Table, a: list[str], b: list[str]) -> None:
+        ids, late = rows["node"].to_pylist(), rows["late"].to_pylist()
+        # A row that occurs again brings its set again.
+        first = [x for x in range(len(ids)) if x == 0 or ids[x] != ids[x - 1]]
+        split = sum(not late[x] for x in first) if rows["i"][0] != rows["j"][0] else 0
+        sketch = np.array([rows["sketch"][x].as_py() for x in first], np.int64).view(np.uint64)
+        hashes = [rows["hashes"][x].values.to_numpy().view(np.uint64) for x in first]
+        for x, y in exact_forest(hashes, sketch, split, max_bits, similarity):
+            x, y = ids[first[x]], ids[first[y]]
+            a.append(max(x, y))
+            b.append(min(x, y))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, held = None, []
+        for batch in batches:
+            a, b = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j"))))
+            cuts = [x for x in range(len(keys)) if x == 0 or keys[x] != keys[x - 1]]
+            for x, y in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[x] != open_:
+                    if held:
+                        compared(pa.Table.from_batches(held), a, b)
+                    open_, held = keys[x], []
+                held.append(batch.slice(x, y - x))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+        if held:
+            a, b = [], []
+            compared(pa.Table.from_batches(held), a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return meeting.mapInArrow(search, "a string, b string").distinct()
+
+
+def drop_copies(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = SKETCH_BITS, similarity: float = SIMILARITY
+) -> DataFrame:
     """One row of each near-duplicate class: the one with the smallest doc_id (nulls last, then text digest)."""
-    made = checkpointed(sketches(docs, shingle).withColumn("node", F.md5(F.concat_ws(",", F.concat("sketch", "anchors").cast("array<string>")))))
-    nodes = checkpointed(made.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("anchors").alias("anchors")))
-    trees = components(wide_links(nodes, max_bits)).withColumnRenamed("node", "n")
+    made = checkpointed(sketches(docs, shingle))
+    one = lambda c: F.first(c).alias(c)
+    nodes = checkpointed(made.groupBy("node").agg(one("size"), one("sketch"), one("anchors"), F.min("__row").alias("__row")))
+    trees = components(similar_links(docs, nodes, shingle, max_bits, similarity)).withColumnRenamed("node", "n")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
     firsts = made.groupBy("node").agg(best)
     rooted = firsts.join(trees, firsts["node"] == trees["n"], "left").select(F.coalesce("root", "node").alias("root"), "best")

@@ -126,6 +126,39 @@ def test_drop_copies_keeps_one_of_each(spark, odd, none, monkeypatch, block):
     assert simhash.drop_copies(none).count() == 0
 
 
+def planted_pairs():
+    """Pairs of texts whose 5-word shingle sets have a similarity between 0.5 and 1, and three that chain."""
+    rng, texts = np.random.default_rng(7), []
+    for at in range(160):
+        base = [f"w{at}x{i}" for i in range(int(rng.integers(12, 300)))]
+        other = list(base)
+        for i in rng.choice(len(base), max(1, int(len(base) * rng.uniform(0.005, 0.07))), replace=False):
+            other[i] = f"new{at}x{i}"
+        texts += [" ".join(base), " ".join(other[: int(len(base) * rng.uniform(0.9, 1)) + 1])]
+    chain = [f"c{i}" for i in range(120)]
+    return texts + [" ".join(chain[i : i + 100]) for i in (0, 9, 18)]
+
+
+@pytest.mark.parametrize("block", [simhash.SET_BLOCK, 60])
+def test_near_copies_are_those_of_similarity(spark, monkeypatch, block):
+    texts = planted_pairs()
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+    between = 0
+    for x in range(len(texts)):
+        for y in range(x):
+            shared = len(sets[x] & sets[y])
+            union = len(sets[x]) + len(sets[y]) - shared
+            between += 6 * union <= 10 * shared < 9 * union
+            if 10 * shared >= 8 * union:
+                a, b = root[x], root[y]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert between > 60 and len(set(root)) < len(texts) - 40
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    assert sorted(r["doc_id"] for r in simhash.drop_copies(docs_of(spark, texts)).collect()) == sorted(set(root))
+
+
 def test_line_index_is_reversible(spark, odd, none):
     docs = docs_of(spark, [f"Shared line \nown {i}\n" for i in range(12)])
     index = lines.LineIndex.empty(spark).insert(docs)
