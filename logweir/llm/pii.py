@@ -3,14 +3,15 @@
 Detected entities are replaced by keyed surrogates of their type and format. A surrogate is a
 function of the secret key, the entity's type and its canonical form (digits only, or lower
 case), so every mention of an entity, however it is written, gets the same surrogate, set in
-the mention's own separators and case. Distinct entities keep distinct surrogates: all
+the mention's own separators and case. Each word of a name has its own surrogate, so a surname
+agrees with the full name; telephone numbers go by their last ten digits. Distinct entities keep distinct surrogates: all
 surrogates of the corpus are checked against each other and against the originals, and those
 that collide are drawn again under the next attempt number until none is left.
 
 Types: e-mail addresses; telephone numbers (country codes stay); IPv4 addresses; payment
 cards that pass the Luhn check (so do their surrogates; other long numbers stay); social
-security numbers; names after a title (the title and with it the gender stays, the script of
-the letters too); quoted secrets assigned to a name such as token or password.
+security numbers; names after a title (the title and with it the gender stays, initials and the
+script of the letters too); quoted secrets assigned to a name such as token or password.
 
 Only DataFrame functions run. Defined cases: a null text stays null and an empty one empty;
 repeated rows get the same text; an empty table gives an empty table; other columns are kept
@@ -25,23 +26,33 @@ from pyspark.sql import functions as F
 from logweir.llm.common import checkpointed, let, table
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)"
+_TITLE = (
+    "(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señorita|Señor|Srta|Sra|Sr"
+    "|[Гг]-н|[Гг]-жа|[Гг]осподин|[Гг]оспожа|[Κκ]ύριος|[Κκ]υρία)"
+)
+#: A word of a name: capitalised, also inside as in O'Brien, McDonald and Anne-Marie.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]?\p{Lu}\p{Ll}+)*"
+#: What stands before a name and stays.
+_FRAME = rf"{_TITLE}\.? (?:\p{{Lu}}\. ){{0,2}}"
 #: Types by precedence; an entity belongs to the first pattern that matches all of it.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api_?key)\s*[=:]\s*"[^"\s]{8,}")""",
+    "secret": r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|(?:api|access|private)_?key)["']?\s*[=:]\s*(?:"[^"\s]{8,}"|'[^'\s]{8,}'))""",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
-    "name": rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}}){_FRAME}{_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(PATTERNS.values())
 #: A cheap test that every text with an entity passes, so that most texts skip the patterns.
-HINT = rf"""@|\d[\d. ()-]{{5,}}\d|"[^"\s]{{8,}}"|{_TITLE}\.? \p{{Lu}}"""
+HINT = rf"""@|\d[\d. ()-]{{5,}}\d|"[^"\s]{{8,}}"|'[^'\s]{{8,}}'|{_TITLE}\.? \p{{Lu}}"""
 TYPES = tuple(PATTERNS)
 DIGIT_TYPES = ("ssn", "phone", "card")
 MAX_ATTEMPTS = 32
+#: Digits of a national telephone number, at most, and letters of a name's surrogate, at least.
+NATIONAL = 10
+NAME_LETTERS = 5
 
 #: Letters by script, lower case, from which surrogate letters are drawn.
 SCRIPTS = (
@@ -81,13 +92,19 @@ def kind_of(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """What stays the same between two mentions of an entity."""
     return (
-        F.when(kind.isin(*DIGIT_TYPES), _digits(raw))
-        .when(kind == "secret", F.regexp_extract(raw, '"([^"]*)"', 1))
-        .when(kind == "name", F.regexp_extract(raw, rf"^{_TITLE}\.? (.*)$", 1))
+        F.when(kind == "phone", F.right(_digits(raw), F.lit(NATIONAL)))
+        .when(kind.isin(*DIGIT_TYPES), _digits(raw))
+        .when(kind == "secret", F.regexp_extract(raw, """^[^=:]*[=:]\\s*["'](.*).$""", 1))
+        .when(kind == "name", F.regexp_extract(raw, rf"^{_FRAME}(.*)$", 1))
         .otherwise(F.lower(raw))
     )
 
 
+def units(kind: Column, canon: Column) -> Column:
+    """The parts of an entity that have surrogates of their own: each word of a name, else the whole."""
+    return F.when(kind == "name", F.split(canon, " ")).otherwise(F.array(canon))
+
+
 def entities(text: Column) -> Column:
     """Array of (raw, kind, canon) of a text, in order."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -98,14 +115,17 @@ def entities(text: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The canonical surrogate of an entity."""
+    """The canonical surrogate of a unit of an entity."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(2)])
 
     def made(s: Column) -> Column:
         value = lambda i: F.conv(F.substring(s, 1, 128).substr(2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
         digit = lambda i: (value(i) % 10).cast("string")
-        chars = F.filter(F.split(canon, ""), lambda c: c != "")
+        # Short names are few, so their surrogates are longer.
+        more = F.greatest(F.lit(NAME_LETTERS) - F.length(canon), F.lit(0))
+        drawn_as = F.when(kind == "name", F.concat(canon, F.repeat(F.right(canon, F.lit(1)), more))).otherwise(canon)
+        chars = F.filter(F.split(drawn_as, ""), lambda c: c != "")
 
         def letter(c: Column, i: Column) -> Column:
             out = c
@@ -127,9 +147,6 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
             "",
         )
         numbers = F.array_join(F.transform(chars, lambda c, i: digit(i)), "")
-        # A country code of a number that is longer than ten digits stays.
-        code = F.greatest(F.length(canon) - 10, F.lit(0))
-        phone = F.concat(F.substr(canon, F.lit(1), code), F.substr(numbers, code + 1))
         body = F.concat(F.lit("4"), F.substr(numbers, F.lit(2), F.length(canon) - 2))
         card = F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
         ip = F.concat_ws(".", *[(value(F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
@@ -139,8 +156,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
             F.when(kind == "email", email)
             .when(kind == "ip", ip)
             .when(kind == "card", card)
-            .when(kind == "phone", phone)
-            .when(kind == "ssn", numbers)
+            .when(kind.isin("phone", "ssn"), numbers)
             .when((kind == "secret") & F.rlike(canon, F.lit("^[0-9a-fA-F]+$")), hexed)
             .otherwise(shaped)
         )
@@ -150,29 +166,36 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 def written(kind: Column, raw: Column, sur: Column) -> Column:
     """A surrogate in the separators, case and frame of the mention it replaces."""
-    filled = F.aggregate(
+    # A country code of a number that is longer than ten digits stays.
+    code = F.greatest(F.length(_digits(raw)) - F.length(sur), F.lit(0))
+    digits = F.concat(F.substr(_digits(raw), F.lit(1), code), sur)
+    filled = lambda digits: F.aggregate(
         F.split(raw, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(
             F.rlike(c, F.lit(r"^\d$")),
-            F.struct(F.concat(a["out"], F.substr(sur, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
+            F.struct(F.concat(a["out"], F.substr(digits, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
         ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
         lambda a: a["out"],
     )
     return (
-        F.when(kind.isin(*DIGIT_TYPES), filled)
-        .when(kind == "secret", F.concat(F.regexp_extract(raw, '^([^"]*")', 1), sur, F.lit('"')))
-        .when(kind == "name", F.concat(F.regexp_extract(raw, rf"^({_TITLE}\.? )", 1), sur))
+        F.when(kind.isin(*DIGIT_TYPES), let(digits, filled))
+        .when(kind == "secret", F.concat(F.regexp_extract(raw, """^([^=:]*[=:]\\s*["'])""", 1), sur, F.right(raw, F.lit(1))))
+        .when(kind == "name", F.concat(F.regexp_extract(raw, rf"^({_FRAME})", 1), sur))
         .when((kind == "email") & (F.upper(raw) == raw), F.upper(sur))
         .otherwise(sur)
     )
 
 
+def _units_of(text: Column) -> Column:
+    """Array of (kind, canon) of the units of a text's entities."""
+    of = lambda e: F.transform(units(e["kind"], e["canon"]), lambda c: F.struct(e["kind"].alias("kind"), c.alias("canon")))
+    return F.flatten(F.transform(entities(text), of))
+
+
 def attempts(docs: DataFrame, key: str) -> DataFrame:
-    """kind, canon, attempt of the entities whose first surrogate collides with another's or with an original."""
-    found = docs.filter(F.rlike("text", F.lit(HINT))).select(
-        F.explode(F.array_distinct(F.transform(entities(F.col("text")), lambda e: F.struct(e["kind"], e["canon"])))).alias("e")
-    )
+    """kind, canon, attempt of the units whose first surrogate collides with another's or with an original."""
+    found = docs.filter(F.rlike("text", F.lit(HINT))).select(F.explode(F.array_distinct(_units_of(F.col("text")))).alias("e"))
     known = checkpointed(found.select("e.*").filter("kind IS NOT NULL").distinct())
     state = known.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
@@ -201,7 +224,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     if not retried.isEmpty():
         # Texts that hold one of the few redrawn entities, by digest.
         uses = (
-            docs.select(F.md5("text").alias("__id"), F.explode(entities(F.col("text"))).alias("e"))
+            docs.select(F.md5("text").alias("__id"), F.explode(_units_of(F.col("text"))).alias("e"))
             .select("__id", "e.kind", "e.canon")
             .distinct()
             .join(retried, ["kind", "canon"])
@@ -214,8 +237,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         gaps = F.split(text, ANY, -1)
 
         def one(e: Column) -> Column:
-            tries = F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
-            sur = surrogate(key, e["kind"], e["canon"], tries)
+            tries = lambda c: F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws(":", e["kind"], c)), F.lit(0))
+            part = lambda c: surrogate(key, e["kind"], c, tries(c))
+            sur = F.array_join(F.transform(units(e["kind"], e["canon"]), part), " ")
             return F.when(e["kind"].isNull(), e["raw"]).otherwise(let(sur, lambda s: written(e["kind"], e["raw"], s)))
 
         def joined(found: Column) -> Column:

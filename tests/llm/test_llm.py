@@ -236,6 +236,26 @@ def test_pii(spark, none):
     assert pii.pseudonymise(none, "key").count() == 0
 
 
+def test_pii_mentions_agree(spark):
+    texts = [
+        "Mr. John Smith, Mr. Smith and Dr. Smith.",
+        "+1 555 201 3344 or 555-201-3344",
+        "г-н Иванов, господин Иванов, κύριος Ανδρέου",
+        "Prof. Jane McDonald, Mrs. J. O'Brien",
+        """password: 'qwertz-1234' and "api_key": "qwertz-1234" """,
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs_of(spark, texts), "key").collect()}
+    full, short, doctor = got[0].rstrip(".").replace(" and", ",").replace(",,", ",").split(", ")
+    assert full.split()[2] == short.split()[1] == doctor.split()[1] != "Smith" and full.split()[1] != "John"
+    national, local = got[1].split(" or ")
+    assert national.startswith("+1 ") and national[3:].replace(" ", "-") == local != "555-201-3344"
+    first, second, greek = (x.split()[1] for x in got[2].split(", "))
+    assert first == second != "Иванов" and greek != "Ανδρέου"
+    assert not any(x in got[3] for x in ("Jane", "Mc", "Donald", "Brien")) and "Mrs. J. " in got[3]
+    secret = got[4].split("'")[1]
+    assert secret != "qwertz-1234" and f'"api_key": "{secret}"' in got[4]
+
+
 def test_packing_round_trip(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").unionByName(
         spark.createDataFrame([(-1, None, None, None, 0), (-2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
