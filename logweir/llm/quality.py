@@ -49,7 +49,7 @@ MAX_REPEAT_PERCENT = 50
 
 #: Thresholds in the manner of published web-corpus filters.
 RULES = (
-    Rule("n_words", low=MIN_WORDS, high=1_000_000),
+    Rule("n_words", low=MIN_WORDS),
     Rule("mean_word_chars", low=2, high=15),
     Rule("symbol_ratio", high=0.1),
     Rule("n_stop_words", low=2),

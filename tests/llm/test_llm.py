@@ -45,6 +45,13 @@ def test_quality_on_odd_rows(odd, none):
     assert quality.keep_good(none).columns == none.columns and quality.keep_good(none).count() == 0
 
 
+def test_quality_rejects_no_text_for_its_length(spark):
+    clean = {"n_words": 2_000_000, "n_repeat_words": 0, "mean_word_chars": 5.0, "symbol_ratio": 0.0, "n_stop_words": 9}
+    clean |= {"letter_word_ratio": 1.0, "dup_line_ratio": 0.0, "bullet_line_ratio": 0.0, "ellipsis_line_ratio": 0.0}
+    metrics = F.struct(*[F.lit(v).alias(k) for k, v in clean.items()])
+    assert spark.range(1).select(metrics.alias("m")).select(quality.verdict(F.col("m"))).first()[0]
+
+
 def test_mixing_on_odd_rows(odd, none):
     got = mixing.plan(odd).collect()
     assert len(got) == 9 and all(r["taken"] <= 3 * r["size"] for r in got)
