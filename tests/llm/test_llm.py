@@ -166,6 +166,13 @@ def test_near_copies_are_those_of_similarity(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in simhash.drop_copies(docs_of(spark, texts)).collect()) == sorted(set(root))
 
 
+def test_near_duplicates_on_large_copy_groups(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join([*words[:60], f"changed{i}", *words[61:]]) for i in range(300)]
+    docs = docs_of(spark, ["one text " * 40] * 400 + near + ["another text altogether"])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 400, 700]
+
+
 def test_line_index_is_reversible(spark, odd, none):
     docs = docs_of(spark, [f"Shared line \nown {i}\n" for i in range(12)])
     index = lines.LineIndex.empty(spark).insert(docs)
