@@ -3,20 +3,22 @@
 Each Spark partition packs its own documents as they come: whole windows are cut off a long
 document, and what is left of it goes to the fill level that minimises the sum of squared
 counts of partially filled windows, kept in an array by level (a new window where that is
-best). Windows left partly filled at the end are emptied, fullest first, into new ones by
-cutting pieces, and the last of them is cut at powers of two, which need no padding. No
-shuffle takes place; open windows are bounded, so a task's memory does not grow with its
-input.
+best). At the end the fullest of the windows that are still open stay as they are and are
+topped up with pieces of the emptiest ones, and the last window is cut at powers of two, which
+need no padding. ``Packer`` counts the tokens that were placed by level and those of them that
+topped up others. No shuffle takes place; open windows are bounded, so a task's memory does
+not grow with its input.
 
 Defined cases: a null or empty text is its end token alone; the text of the special token is
-the special token; repeated rows are packed separately; an empty table gives an empty table;
-other columns are ignored.
+the special token; a long text is cut into whole windows and a rest; repeated rows are packed
+separately; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,10 +47,12 @@ class WordEncoder(dict):
     """Token ids of words, as little-endian unsigned 32-bit bytes, encoded when first met.
 
     The tokenizer's pre-tokens never cross from a character that isn't white space into a
-    space, so a text may be cut there and the parts encoded on their own.
+    space, so a text may be cut there, and only there, and the parts encoded on their own.
     """
 
     cut = staticmethod(re.compile(r"(?<=\S)(?= )").split)
+    #: Finds a space that follows white space, at which a text may not be cut.
+    bound = staticmethod(re.compile(r"\s ").search)
 
     def __init__(self, encode: Callable[[str], list[int]], prefix: str):
         super().__init__()
@@ -77,7 +81,7 @@ class Encoder:
         self.plain, self.spaced = WordEncoder(encode, ""), WordEncoder(encode, " ")
 
     def encode(self, text: str) -> bytes:
-        if "  " in text:
+        if WordEncoder.bound(text):
             return b"".join([self.plain[part] for part in WordEncoder.cut(text)])
         words = text.split(" ")
         return self.plain[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
@@ -94,6 +98,7 @@ class Packer:
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
         self.out: list[tuple] = []
+        self.placed = self.moved = 0
 
     def close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -121,6 +126,7 @@ class Packer:
         if whole < len(ids):
             piece, size = (doc, whole >> 2, ids[whole:], total), (len(ids) - whole) >> 2
             level = self.level(size)
+            self.placed += size
             pieces = self.open[level].pop() if level else []
             self.counts[level] -= level > 0
             pieces.append(piece)
@@ -133,39 +139,39 @@ class Packer:
                 self.flush(False)
 
     def flush(self, last: bool) -> None:
-        """Empties the open windows, fullest first, into full ones; what is left stays open or is cut up."""
-        left = [p for level in reversed(self.open) for pieces in level for p in pieces]
+        """Tops up the fullest open windows with pieces of the emptiest; what is left stays open or is cut up."""
+        windows = [(level, pieces) for level in reversed(range(self.window)) for pieces in self.open[level]]
         self.counts[:], self.open = 0, [[] for _ in range(self.window)]
-        width, held, room = 4 * self.window, [], 4 * self.window
-        for doc, start, ids, total in left:
-            while ids:
-                part, ids = ids[:room], ids[room:]
-                held.append((doc, start, part, total))
-                start += len(part) >> 2
-                room -= len(part)
-                if not room:
-                    self.close(held)
-                    held, room = [], width
-        size = (width - room) >> 2
-        if held and not last:
-            self.open[size], self.counts[size] = [held], 1
-        elif held:
-            self._cut(held, size)
-
-    def _cut(self, pieces: list[tuple], size: int) -> None:
+        full = sum(level for level, _ in windows) // self.window
+        given = deque(p for _, pieces in windows[full:] for p in pieces)
+        for level, pieces in windows[:full]:
+            self._take(given, 4 * (self.window - level), pieces)
+            self.moved += self.window - level
+            self.close(pieces)
+        size = sum(len(p[2]) for p in given) >> 2
+        if given and not last:
+            self.open[size], self.counts[size] = [list(given)], 1
+        elif given:
+            self._cut(given, size)
+
+    @staticmethod
+    def _take(given: deque[tuple], want: int, pieces: list[tuple]) -> None:
+        """Moves ``want`` bytes of ids from the front of ``given`` to ``pieces``."""
+        while want:
+            doc, start, ids, total = given.popleft()
+            part, rest = ids[:want], ids[want:]
+            pieces.append((doc, start, part, total))
+            want -= len(part)
+            if rest:
+                given.appendleft((doc, start + (len(part) >> 2), rest, total))
+
+    def _cut(self, given: deque[tuple], size: int) -> None:
         """Closes the last window as sequences of power-of-two lengths, largest first."""
-        queue = list(pieces)
         for bit in reversed(range(size.bit_length())):
-            want, taken = ((size >> bit) & 1) << bit + 2, []
-            while want:
-                doc, start, ids, total = queue.pop(0)
-                part, rest = ids[:want], ids[want:]
-                taken.append((doc, start, part, total))
-                want -= len(part)
-                if rest:
-                    queue.insert(0, (doc, start + (len(part) >> 2), rest, total))
-            if taken:
-                self.close(taken)
+            if size >> bit & 1:
+                pieces: list[tuple] = []
+                self._take(given, 4 << bit, pieces)
+                self.close(pieces)
 
 
 PIECES = "doc_id long, start long, tokens binary, doc_tokens long, sequence_id long, offset long"
