@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,17 +38,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (as in tests) a temporary one of our own is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. In local mode, where
+    driver and tasks share the disk, an unset one becomes a folder below the warehouse; on a
+    cluster it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "logweir-checkpoints"))
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def row_id() -> Column:
+    """Identifies a row of documents by its id and whole text; null ids and texts are told from empty ones."""
+    told = lambda c, shown: F.when(c.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), shown))
+    doc, text = F.col("doc_id"), F.col("text")
+    return F.concat(told(doc, doc.cast("string")), F.lit(":"), told(text, F.md5(text)))
+
+
+#: Keys that hold more than a 4096th of all rows; there are fewer than that many of them.
+HOT_KEYS = 4096
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], counted: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``keyed``, which has one row a key and the number ``counted`` of ``rows`` under it.
+
+    Keys that hold more than one in ``HOT_KEYS`` of the ``total`` rows are fewer than
+    ``HOT_KEYS``, so they are broadcast and their rows stay where they are; no key of the
+    shuffled rest is large. ``rows`` is read twice. ``counted`` is dropped; a left join keeps
+    rows without a key in ``keyed``.
+    """
+    hot = keyed.filter(F.col(counted) * HOT_KEYS > total).drop(counted)
+    cold = keyed.filter(F.col(counted) * HOT_KEYS <= total).drop(counted)
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
 def hash_order(*parts: Column) -> Column:
     """A reproducible random sort key: 32 hex digits, uniform over its parts."""
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts]))

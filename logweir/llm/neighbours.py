@@ -2,25 +2,29 @@
 
 The trees' hyperplanes are fitted on a bounded sample (``SAMPLE`` distinct vectors, the
 smallest by hash; each plane bisects two sample vectors' direction at the sample's median)
-and sent to the tasks; every row is indexed, in one leaf of each tree. A query walks all
-trees through one shared priority queue, nearest margin first, until it has ``probes``
-leaves. Leaves and the queries that reached them then meet by leaf; inside, inner products in
-double precision rank the leaf's vectors, and each query's best of all leaves are its answer.
+and sent to the tasks; every row is indexed, in one leaf of each tree. The depth follows the
+number of rows, so leaves stay near ``LEAF_ROWS`` rows for as long as the sample can fit them.
+
+A query walks all trees through one shared priority queue, by the squared margins of the
+planes it would have to cross. Its own leaves' sample vectors tell about how far its k-th
+neighbour is; seen along one plane a neighbour at distance r is r / sqrt(dim) away, and the walk
+ends when the margins exceed ``REACH`` times the square of that. In clustered data few leaves
+are that near, in data without structure about half of the rows are. ``SHARE`` of all leaves
+is the most that a walk takes. Leaves and the queries that reached them meet by leaf, where
+inner products in double precision rank the leaf's vectors; each query's best of all leaves
+are its answer.
 
 For the largest inner product the vectors get one more coordinate that makes all norms equal,
 so that near in angle is large in product; queries have zero there.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: no answer of k can hold more
-of them, as ties go to the smaller id. A leaf met by many queries is cut into blocks of
-bounded size on both sides.
-
-The default ``probes`` are set for vectors without structure, where reaching a recall of 0.9
-takes more than half of the rows whatever the index; clustered data need far fewer.
+of them, as ties go to the smaller id. Equal queries are asked once. A leaf of more than
+``BLOCK_ROWS`` rows is cut into blocks; a task holds one block and streams the queries by.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
-vectors of another length than the commonest, take no part; a repeated row counts once; a
-query is never its own answer; with fewer candidates than k all reached are returned; an
-empty table gives an empty table; other columns are ignored.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take
+no part; shorter vectors are filled up with zeros, which changes no inner product; a repeated
+row counts once; a query is never its own answer; with fewer candidates than k all reached are
+returned; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,38 +34,50 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpointed, table
+from logweir.llm.common import checkpointed, spread_join, table
 
-SAMPLE = 16_384
-TREES = 10
-#: Leaves a tree has at most are 2**DEPTH, and at least LEAF sample vectors are in each.
-DEPTH = 6
-LEAF = 32
-PROBES = 80
-#: Rows of a leaf, and queries, that one block compares.
+SAMPLE = 32_768
+TREES = 8
+#: Rows that a leaf has about, and sample vectors that it needs.
+LEAF_ROWS = 256
+LEAF_SAMPLE = 8
+REACH = 0.5
+SHARE = 0.2
+#: Rows of a leaf that one block compares, queries at a time, and answers a task holds.
 BLOCK_ROWS = 8_192
-BLOCK_QUERIES = 4_096
+QUERY_ROWS = 1_024
+HELD = 500_000
+
+
+def depth_for(rows: int, sample: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1.0, min(rows / LEAF_ROWS, sample / LEAF_SAMPLE))))))
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Complete trees in heap order: planes (trees, 2**depth - 1, dim) and offsets."""
+    """Complete trees in heap order: planes (trees, 2**depth - 1, dim) and offsets.
+
+    ``sample`` are the lifted sample vectors; ``members`` and ``starts`` list them by leaf of each tree.
+    """
 
     planes: np.ndarray
     offsets: np.ndarray
     depth: int
     norm: float
+    sample: np.ndarray
+    members: np.ndarray
+    starts: np.ndarray
 
     @classmethod
-    def fitted(cls, sample: np.ndarray, norm: float, trees: int = TREES, depth: int = DEPTH, seed: int = 0) -> Forest:
-        depth = min(depth, max(0, int(np.log2(max(1, len(sample) / LEAF)))))
+    def fitted(cls, sample: np.ndarray, norm: float, depth: int, trees: int = TREES, seed: int = 0) -> Forest:
         data, rng = lifted(sample, norm), np.random.default_rng(seed)
         inner = (1 << depth) - 1
         planes, offsets = np.zeros((trees, inner, data.shape[1])), np.zeros((trees, inner))
+        members, starts = np.zeros((trees, len(data)), np.int32), np.zeros((trees, inner + 2), np.int64)
         for t in range(trees):
             held = {0: np.arange(len(data))}
             for node in range(inner):
@@ -73,10 +89,12 @@ class Forest:
                 cut = float(np.median(along)) if len(rows) else 0.0
                 planes[t, node], offsets[t, node] = w, cut
                 held[2 * node + 1], held[2 * node + 2] = rows[along <= cut], rows[along > cut]
-        return cls(planes, offsets, depth, norm)
+            own = [held[node] for node in range(inner, 2 * inner + 1)]
+            members[t], starts[t, 1:] = np.concatenate(own), np.cumsum([len(x) for x in own])
+        return cls(planes, offsets, depth, norm, data, members, starts)
 
     def leaves(self, data: np.ndarray) -> np.ndarray:
-        """(rows, trees): the leaf of each row in each tree."""
+        """(rows, trees): the leaf of each lifted row in each tree."""
         out = np.zeros((len(data), len(self.planes)), np.int64)
         for t, (planes, offsets) in enumerate(zip(self.planes, self.offsets)):
             for _ in range(self.depth):
@@ -85,14 +103,25 @@ class Forest:
                 out[:, t] = 2 * node + 1 + right
         return out - ((1 << self.depth) - 1)
 
-    def probe(self, query: np.ndarray, probes: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the nearest leaves, by one priority queue over all trees."""
+    def radius(self, query: np.ndarray, homes: list[tuple[int, int]], nearest: int) -> float:
+        """The squared distance of the sample vector that is the ``nearest``-th one in the query's own leaves."""
+        found = [self.members[t, self.starts[t, x] : self.starts[t, x + 1]] for t, x in homes]
+        near = self.sample[np.unique(np.concatenate(found))] - query
+        squares = np.einsum("ij,ij->i", near, near)
+        squares = np.sort(squares[squares > 1e-12 * self.norm**2])
+        return float(squares[min(nearest, len(squares)) - 1]) if len(squares) else np.inf
+
+    def probe(self, query: np.ndarray, nearest: int, reach: float = REACH, share: float = SHARE) -> list[tuple[int, int]]:
+        """(tree, leaf) of the leaves near the query (with its zero), by one priority queue over all trees."""
+        trees, inner = len(self.planes), (1 << self.depth) - 1
+        most, limit = max(trees, int(np.ceil(share * trees * (inner + 1)))), np.inf
         margins = (self.planes @ query - self.offsets).tolist()
-        inner = (1 << self.depth) - 1
-        queue = [(0.0, t, 0) for t in range(len(self.planes))]
+        queue = [(0.0, t, 0) for t in range(trees)]
         found: list[tuple[int, int]] = []
-        while queue and len(found) < probes:
+        while queue and len(found) < most:
             distance, t, node = heapq.heappop(queue)
+            if distance > limit:
+                break
             own = margins[t]
             while node < inner:
                 m = own[node]
@@ -100,6 +129,8 @@ class Forest:
                 heapq.heappush(queue, (distance + m * m, t, 4 * node + 3 - near))
                 node = near
             found.append((t, node - inner))
+            if len(found) == trees:
+                limit = reach * self.radius(query, found, nearest) / (len(query) - 1)
         return found
 
 
@@ -108,25 +139,56 @@ def lifted(data: np.ndarray, norm: float) -> np.ndarray:
     return np.column_stack([data, extra])
 
 
-def _stacked(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column, all of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of doubles) of the rows that take part, each once."""
+    """vec_id and embedding of the rows that take part, each once, all of the length of the longest."""
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).filter(
+    rows = vectors.select("vec_id", "embedding").filter(
         F.col("vec_id").isNotNull() & e.isNotNull() & sound & F.exists(e, lambda x: x != 0)
     )
-    size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("embedding") == (size["n"] if size else 0)).dropDuplicates()
+    least, most = rows.agg(F.min(F.size(e)), F.max(F.size(e))).first()
+    if least != most:
+        rows = rows.withColumn("embedding", F.concat(e, F.array_repeat(e[0] * 0, F.lit(most) - F.size(e))))
+    return rows.dropDuplicates()
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's k best distinct answers, ties to the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    q, x = query[order], ids[order]
+    # A row's scores from several trees are the same sum and so equal.
+    fresh = np.concatenate(([True], (q[1:] != q[:-1]) | (x[1:] != x[:-1]))) if len(q) else np.zeros(0, bool)
+    order = order[fresh]
+    q = query[order]
+    first = np.searchsorted(q, q, side="left")
+    return order[np.arange(len(q)) - first < k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PROBES) -> DataFrame:
+def scored(ids: list[np.ndarray], data: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """query, id and score of each query's k best among the rows, which have sorted ids each."""
+    products = q @ data.T
+    if len(data) > k:
+        least = np.partition(products, len(data) - k, axis=1)[:, len(data) - k]
+        least = least - 1e-9 * np.abs(least)
+    else:
+        least = np.full(len(q), -np.inf)
+    a, b = np.nonzero(products >= least[:, None])
+    exact, many = (q[a] * data[b]).sum(axis=1), np.fromiter(map(len, ids), np.int64, len(ids))[b]
+    found = np.concatenate([ids[x] for x in b.tolist()]) if len(b) else np.zeros(0, np.int64)
+    query, score = np.repeat(asked[a], many), np.repeat(exact, many)
+    best = best_of(query, found, score, k)
+    return query[best], found[best], score[best]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = REACH, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each row (vec_id, embedding) of ``queries``.
 
-    Both inputs come from ``usable``.
+    Both inputs come from one call of ``usable``.
     """
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
     points = checkpointed(
@@ -135,80 +197,113 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = PR
         .groupBy("embedding")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     totals = points.agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("m")).first()
     if not totals["n"]:
         return vectors.limit(0).selectExpr("vec_id query_id", "1 rank", "vec_id", "0D score")
-    sample = points.orderBy(F.xxhash64("embedding"), "embedding").select("embedding").limit(SAMPLE).toPandas()
-    forest = Forest.fitted(_stacked(sample["embedding"]), float(np.sqrt(totals["m"])))
+    chosen = points.orderBy(F.xxhash64("embedding"), "embedding").select("embedding").limit(SAMPLE).toArrow()
+    sample = _matrix(chosen.column("embedding").combine_chunks()).astype(np.float64)
+    forest = Forest.fitted(sample, float(np.sqrt(totals["m"])), depth_for(totals["n"], len(sample)))
     sent = points.sparkSession.sparkContext.broadcast(forest)
-    per_leaf = totals["n"] / 2**forest.depth
-    reached = queries.count() * min(1.0, probes / (TREES * 2**forest.depth))
-    row_blocks, query_blocks = (max(1, int(-(-a // b))) for a, b in ((per_leaf, BLOCK_ROWS), (reached, BLOCK_QUERIES)))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                leaves = sent.value.leaves(lifted(_stacked(rows["embedding"]), sent.value.norm))
+    blocks = -(-totals["n"] // (BLOCK_ROWS << forest.depth))
+    nearest = max(1, round(k * len(sample) / totals["n"]))
+    names = ["tree", "leaf", "block", "asks", "id", "ids", "vector"]
+    cells = "tree int, leaf int, block int, asks boolean, id long, ids array<bigint>, vector binary"
+
+    def row(tree: np.ndarray, leaf: np.ndarray, block: np.ndarray, asks: bool, ids: pa.Array, lists: pa.Array, vector: pa.Array) -> pa.RecordBatch:
+        ints = [pa.array(x, pa.int32()) for x in (tree, leaf, block)]
+        return pa.RecordBatch.from_arrays([*ints, pa.array(np.full(len(leaf), asks)), ids, lists, vector], names=names)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, lists = _matrix(batch.column(0)), batch.column(1).cast(pa.list_(pa.int64()))
+                leaves = sent.value.leaves(lifted(data.astype(np.float64), sent.value.norm))
+                vector = pa.array([x.tobytes() for x in data], pa.binary())
+                ids = np.fromiter((x[0].as_py() for x in lists), np.int64, len(lists))
+                block = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
                 for t in range(leaves.shape[1]):
-                    yield rows.assign(tree=t, leaf=leaves[:, t])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                data = _stacked(rows["embedding"])
-                found = [sent.value.probe(np.append(q, 0.0), probes) for q in data]
-                at = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-                pairs = np.array([x for f in found for x in f])
-                for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
-                    yield rows.iloc[at[part]].assign(tree=pairs[part, 0], leaf=pairs[part, 1])
-
-    def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(asked):
-            data, q = _stacked(rows["embedding"]), _stacked(asked["embedding"])
-            held = np.repeat(np.arange(len(rows)), rows["ids"].map(len))
-            ids, own = np.concatenate(rows["ids"].tolist()), asked["vec_id"].to_numpy()
-            scores = (q @ data.T)[:, held]
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            if len(ids) > k:
-                least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                least = least - 1e-9 * np.abs(least)
-            else:
-                least = np.full(len(q), np.finfo(np.float64).min)
-            a, b = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-            exact = (q[a] * data[held[b]]).sum(axis=1)
-            order = np.lexsort((ids[b], -exact, a))
-            a, b, exact = a[order], b[order], exact[order]
-            first = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=len(q)))))
-            best = np.arange(len(a)) - first[a] < k
-            out = {"query_id": own[a[best]], "vec_id": ids[b[best]], "score": exact[best]}
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    indexed = (
-        points.mapInPandas(index, "embedding array<double>, ids array<bigint>, tree int, leaf int")
-        .withColumn("rows", F.pmod(F.xxhash64("embedding"), F.lit(row_blocks)).cast("int"))
-        .withColumn("asked", block(query_blocks))
-    )
-    walked = (
-        queries.mapInPandas(walk, "vec_id long, embedding array<double>, tree int, leaf int")
-        .withColumn("asked", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-        .withColumn("rows", block(row_blocks))
+                    yield row(np.full(len(data), t), leaves[:, t], block.astype(np.int32), False, pa.array(ids), lists, vector)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = _matrix(batch.column(1)) if batch.num_rows else []
+            for asked, q in zip(batch.column(0).to_pylist(), data):
+                found = sent.value.probe(np.append(q.astype(np.float64), 0.0), nearest, reach, share)
+                cut = np.repeat(np.array(found, np.int32), blocks, axis=0)
+                ids, vector = pa.array([asked] * len(cut), pa.int64()), pa.array([q.tobytes()] * len(cut), pa.binary())
+                lists = pa.nulls(len(cut), pa.list_(pa.int64()))
+                yield row(cut[:, 0], cut[:, 1], np.tile(np.arange(blocks), len(found)), True, ids, lists, vector)
+
+    kind = "<f4" if "float" in points.schema["embedding"].dataType.simpleString() else "<f8"
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come sorted, rows before queries: a cell's rows are held while its queries stream by."""
+        cell, lists, rows, data, answers, n = None, [], [], None, [], 0
+
+        def matrix(vectors: pa.Array) -> np.ndarray:
+            flat = np.frombuffer(b"".join(vectors.to_pylist()), kind)
+            return flat.reshape(len(vectors), -1).astype(np.float64)
+
+        def handed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["asked", "vec_id", "score"])
+
+        for batch in batches:
+            where = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype(np.int64)
+            cuts = np.flatnonzero(np.any(where[1:] != where[:-1], axis=1)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)]):
+                if y == x:
+                    continue
+                part = batch.slice(x, y - x)
+                if cell != tuple(where[x, :3]):
+                    cell, lists, rows, data = tuple(where[x, :3]), [], [], None
+                if not where[x, 3]:
+                    rows.append(matrix(part.column(6)))
+                    lists += [v.values.to_numpy() for v in part.column(5)]
+                    continue
+                data = np.concatenate(rows) if data is None and rows else data
+                for at in range(0, y - x, QUERY_ROWS) if data is not None else ():
+                    some = part.slice(at, QUERY_ROWS)
+                    answers.append(scored(lists, data, some.column(4).to_numpy(), matrix(some.column(6)), k + 1))
+                    n += len(answers[-1][0])
+                if n > HELD:
+                    q, ids, score = (np.concatenate(c) for c in zip(*answers))
+                    best = best_of(q, ids, score, k + 1)
+                    answers, n = [(q[best], ids[best], score[best])], len(best)
+                    if 2 * n > HELD:
+                        yield handed(answers)
+                        answers, n = [], 0
+        if n:
+            q, ids, score = (np.concatenate(c) for c in zip(*answers))
+            best = best_of(q, ids, score, k + 1)
+            answers = [(q[best], ids[best], score[best])]
+        yield handed(answers)
+
+    groups = checkpointed(
+        queries.groupBy("embedding").agg(F.min("vec_id").alias("asked"), F.count(F.lit(1)).alias("n"))
     )
-    cell = ["tree", "leaf", "rows", "asked"]
-    found = (
-        indexed.groupBy(*cell)
-        .cogroup(walked.groupBy(*cell))
-        .applyInPandas(rank, "query_id long, vec_id long, score double")
+    indexed = points.select("embedding", "ids").mapInArrow(index, cells)
+    walked = groups.select("asked", "embedding").mapInArrow(walk, cells)
+    cell = ["tree", "leaf", "block"]
+    found = indexed.unionByName(walked).repartition(*cell).sortWithinPartitions(*cell, "asks").mapInArrow(
+        rank, "asked long, vec_id long, score double"
     )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.groupBy("query_id", "vec_id")
+    best_first = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    answers = (
+        found.groupBy("asked", "vec_id")
         .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .withColumn("at", F.row_number().over(best_first))
+        .filter(F.col("at") <= k + 1)
+        .groupBy("asked")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score"))).alias("found"))
+    )
+    keyed = groups.join(answers, "asked").select("embedding", "n", "found")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = spread_join(queries.select("embedding", F.col("vec_id").alias("query_id")), keyed, "embedding", "n", total)
+    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
     )
 
 
