@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpointed, let, table
+from logweir.llm.common import checkpointed, let, row_id, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 THRESHOLD = 10
@@ -262,10 +262,6 @@ class LineIndex:
         )
 
 
-def row_id() -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit(""))))
-
-
 def kept_text() -> Column:
     """The text without the lines at ``__drop``; untouched texts stay as they are."""
 

@@ -7,14 +7,16 @@ the near-duplicate classes.
 Finding the links. Distinct fingerprints only are compared, so exact copies cost nothing.
 The 64 bits are cut into ``blocks``; two fingerprints that differ in k bits agree on at least
 ``blocks - k`` whole blocks, so each is filed once under every choice of that many blocks and
-no link can be missed. Inside a file the pivot distance table - the Hamming distances of
-every member to fixed reference fingerprints - discards a pair when any coordinate differs by
-more than k, which by the triangle inequality loses no link; survivors are verified. A file
+no link can be missed. The pivot distance table - the Hamming distances of every distinct
+fingerprint to fixed reference fingerprints, computed once - discards a pair of a file when any
+coordinate differs by more than k, which by the triangle inequality loses no link; survivors
+are verified. A file
 is searched breadth first over its unvisited members and gives the edges of a spanning
 forest, not its pairs: a dense ball of near copies costs about one pass over its members. A
 file too large for one task is cut into blocks, every two of which meet.
-Components of the edges are found by alternating large-star and small-star steps, each one
-shuffle, written to the shared checkpoint folder.
+Components of the edges are found by alternating large-star and small-star steps, written to
+the shared checkpoint folder. Keys that hold a large share of the rows - a file, the hub of a
+class, a fingerprint of many copies - are joined by ``spread_join``, which keeps them spread.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; a text with
 fewer words than a shingle is one shingle; repeated rows share a fingerprint and so a class;
@@ -25,6 +27,7 @@ other columns are ignored by ``classes`` and kept by ``drop_copies``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpointed, table
+from logweir.llm.common import checkpointed, row_id, spread_join, table
 
 #: Hamming distance that links two fingerprints, and shingle length, of the op4 query.
 MAX_BITS = 4
@@ -95,23 +98,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Members of a file that one task compares with as many others.
-FILE_BLOCK = 16_384
+def pivot_table(fp: Column) -> Column:
+    """The Hamming distances of a fingerprint to the pivots, a byte each, as an array of longs."""
+    apart = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(int(p))))).cast("long") for p in pivots()]
+    packed = lambda xs: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(x, 8 * i) for i, x in enumerate(xs)])
+    return F.array(*[packed(apart[i : i + 8]) for i in range(0, N_PIVOTS, 8)])
+
+
+#: Members of a file that one task compares with as many others: a share of all filed, within bounds.
+FILE_BLOCK = (512, 16_384)
+FILE_SHARE = 64
 
 
 def met(filed: DataFrame, keys: list[str], member: str, *carried: str) -> DataFrame:
     """One row for every two blocks of a file: split and the lists ``member`` and ``carried``.
 
-    A file of more than ``FILE_BLOCK`` members is cut into blocks by hash and every two blocks
+    A file that holds a large share of all rows is cut into blocks by hash and every two blocks
     meet in a row of their own, so memory stays bounded and no pair is left out. Rows are spread
     by file and blocks, so that a large file is the work of many tasks. The first ``split``
     members are of one block and the rest of the other; it is zero where a block meets itself.
     """
-    sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = sizes.select(*keys, F.ceil(F.col("n") / FILE_BLOCK).cast("int").alias("blocks"))
+    sizes = checkpointed(filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block = min(max(FILE_BLOCK[0], total // FILE_SHARE), FILE_BLOCK[1])
+    blocks = sizes.select(*keys, "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own, other = F.col("own"), F.col("other")
     spread = (
-        filed.join(blocks, keys)
+        spread_join(filed, blocks, keys, "n", total)
         .withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*keys, member, *carried, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).alias("late"))
@@ -124,24 +137,14 @@ def met(filed: DataFrame, keys: list[str], member: str, *carried: str) -> DataFr
     return rows.filter(F.size("m") > 1).select(split.alias("split"), *map(listed, (member, *carried)))
 
 
-def forest_of(members: np.ndarray, split: int, max_bits: int, refs: np.ndarray) -> list[tuple[int, int]]:
+def forest_of(members: np.ndarray, table_: np.ndarray, split: int, max_bits: int) -> list[tuple[int, int]]:
     """Spanning-forest edges (as positions) of the links in a file, or between its first ``split`` members and the rest."""
-    table_ = np.bitwise_count(members[:, None] ^ refs[None, :]).astype(np.int16)
-    left = np.arange(len(members))
-    edges: list[tuple[int, int]] = []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            other = left if split == 0 else left[(left < split) != (at < split)]
-            near = other[np.abs(table_[other] - table_[at]).max(axis=1) <= max_bits]
-            near = near[np.bitwise_count(members[near] ^ members[at]) <= max_bits]
-            found = near.tolist()
-            edges += [(at, x) for x in found]
-            queue += found
-            if found:
-                left = np.setdiff1d(left, near, assume_unique=True)
-    return edges
+
+    def near(at: int, other: np.ndarray) -> np.ndarray:
+        other = other[np.abs(table_[other] - table_[at]).max(axis=1) <= max_bits]
+        return other[np.bitwise_count(members[other] ^ members[at]) <= max_bits]
+
+    return _spanning(len(members), split, near)
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -152,35 +155,35 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) ->
     if blocks <= max_bits:
         raise ValueError("more blocks than differing bits are needed")
     masks = F.array(*[F.lit(_signed(m)) for m in block_masks(blocks, blocks - max_bits)])
-    filed = prints.select("fp", F.posexplode(masks).alias("file", "mask")).select(
-        "fp", "file", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    tabled = checkpointed(prints.select("fp", pivot_table(F.col("fp")).alias("pivots")))
+    filed = tabled.select("fp", "pivots", F.posexplode(masks).alias("file", "mask")).select(
+        "fp", "pivots", "file", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
     )
-    refs = pivots()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             splits, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            packed = batch.column(2).flatten().flatten().to_numpy(zero_copy_only=False)
+            table_ = packed.astype("<i8").view(np.uint8).reshape(-1, N_PIVOTS).astype(np.int16)
             offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             sizes = np.diff(offsets)
             # Files of two are most of all: their pairs go through the table together.
             first = offsets[:-1][sizes == 2]
-            x, y = flat[first], flat[first + 1]
-            tx, ty = (np.bitwise_count(v[:, None] ^ refs[None, :]).astype(np.int16) for v in (x, y))
-            ok = np.flatnonzero(np.abs(tx - ty).max(axis=1) <= max_bits) if len(x) else np.zeros(0, np.int64)
-            ok = ok[np.bitwise_count(x[ok] ^ y[ok]) <= max_bits]
-            a, b = [x[ok].view(np.int64)], [y[ok].view(np.int64)]
+            first = first[np.abs(table_[first] - table_[first + 1]).max(axis=1) <= max_bits] if len(first) else first
+            first = first[np.bitwise_count(flat[first] ^ flat[first + 1]) <= max_bits]
+            a, b = [flat[first].view(np.int64)], [flat[first + 1].view(np.int64)]
             for i in np.flatnonzero(sizes > 2).tolist():
-                members = flat[offsets[i] : offsets[i + 1]]
-                if edges := forest_of(members, int(splits[i]), max_bits, refs):
-                    pairs = members.view(np.int64)[np.array(edges)]
+                at = slice(offsets[i], offsets[i + 1])
+                if edges := forest_of(flat[at], table_[at], int(splits[i]), max_bits):
+                    pairs = flat[at].view(np.int64)[np.array(edges)]
                     a.append(pairs[:, 0])
                     b.append(pairs[:, 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"]
             )
 
-    found = met(filed, ["file", "key"], "fp").mapInArrow(search, "a long, b long")
+    found = met(filed, ["file", "key"], "fp", "pivots").mapInArrow(search, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -196,26 +199,34 @@ def components(edges: DataFrame) -> DataFrame:
         summary = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if summary == seen:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = summary
+        seen, total = summary, 2 * summary[0]
+        least = lambda rows: rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = least(both).select("a", F.least("a", "m").alias("m"), "n")
+        upper = spread_join(both, low, "a", "n", total).filter("b > a")
+        large = checkpointed(upper.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        floor = least(large)
+        small = spread_join(large, floor, "a", "n", total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = checkpointed(small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct())
 
 
+def grouped(trees: DataFrame) -> DataFrame:
+    """(node, root) of every node of a component, its root among them."""
+    return checkpointed(trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct()))
+
+
 def classes(
     docs: DataFrame, shingle: int = QUERY_SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS
 ) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = checkpointed(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    trees = components(links(nodes.select("fp"), max_bits, blocks)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(trees, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    members = grouped(components(links(nodes.select("fp"), max_bits, blocks))).withColumnRenamed("node", "fp")
+    firsts = nodes.select("fp", "first").join(members, "fp")
+    named = firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    linked = spread_join(members, named, "root", "m", members.count()).drop("root")
+    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n")
+    return spread_join(prints, checkpointed(labels), "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,37 +282,35 @@ def sketch_of(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """__row (id and text digest), doc_id, node, size, sketch and anchors of every row.
+    """__row (id and text digest), doc_id, node, size, sketch, pivots and anchors of every row.
 
-    ``node`` is a digest of the whole shingle set, ``size`` the number of its shingles.
+    ``node`` is a digest of the whole shingle set, ``size`` the number of its shingles and
+    ``pivots`` the sketch's row of the pivot distance table.
     """
+    refs = np.random.default_rng(0).integers(0, 1 << 64, (N_PIVOTS, WORDS), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.int64())
         for batch in batches:
-            node, size, sketch, anchors = [], [], [], []
+            node, size, sketch, distances, anchors = [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 node.append(xxhash.xxh3_128_hexdigest(hashes.astype("<u8").tobytes()))
                 size.append(len(hashes))
                 sketch.append(sketch_of(hashes))
+                distances.append(_apart(np.array(sketch[-1], np.int64).view(np.uint64), refs).tolist())
                 anchors.append(hashes[:ANCHORS].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(sketch, lists), pa.array(anchors, lists)],
-                names=["__row", "doc_id", "node", "size", "sketch", "anchors"],
+                [batch.column(0), batch.column(1), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(sketch, lists), pa.array(distances, pa.list_(pa.int16())), pa.array(anchors, lists)],
+                names=["__row", "doc_id", "node", "size", "sketch", "pivots", "anchors"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(row_id().alias("__row"), "doc_id", "text").mapInArrow(
-        run, f"__row string, doc_id {kind}, node string, size bigint, sketch array<bigint>, anchors array<bigint>"
+        run, f"__row string, doc_id {kind}, node string, size bigint, sketch array<bigint>, pivots array<smallint>, anchors array<bigint>"
     )
 
 
-def row_id() -> Column:
-    """Identifies a row by its id and whole text."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.md5(F.coalesce("text", F.lit(""))))
-
-
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
@@ -333,10 +342,9 @@ def _of_like_size(sizes: np.ndarray, at: int, other: np.ndarray, similarity: flo
 
 
 def wide_forest(
-    sketch: np.ndarray, sizes: np.ndarray, split: int, max_bits: int, similarity: float, refs: np.ndarray
+    sketch: np.ndarray, table_: np.ndarray, sizes: np.ndarray, split: int, max_bits: int, similarity: float
 ) -> list[tuple[int, int]]:
     """Spanning-forest edges of the candidate pairs in a file, or between its first ``split`` members and the rest."""
-    table_ = _apart(sketch[:, None, :], refs[None, :, :])
 
     def near(at: int, other: np.ndarray) -> np.ndarray:
         other = _of_like_size(sizes, at, other, similarity)
@@ -370,25 +378,25 @@ def exact_forest(
 
 
 def wide_links(nodes: DataFrame, max_bits: int = SKETCH_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) with a > b: edges that connect the candidate pairs of nodes (node, size, sketch, anchors).
+    """(a, b) with a > b: edges that connect the candidate pairs of nodes (node, size, sketch, pivots, anchors).
 
     Nodes are filed under each anchor. A candidate pair meets in a file, is near by sketch and
     alike in size; whether it is similar is left to ``similar_links``.
     """
-    filed = nodes.select("node", "size", "sketch", F.explode("anchors").alias("key"))
-    refs = np.random.default_rng(0).integers(0, 1 << 64, (N_PIVOTS, WORDS), np.uint64)
+    filed = nodes.select("node", "size", "sketch", "pivots", F.explode("anchors").alias("key"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for split, names, size, sketch in zip(*(batch.column(n) for n in ("split", "node", "size", "sketch"))):
+            for split, names, size, sketch, pivot in zip(*(batch.column(n) for n in ("split", "node", "size", "sketch", "pivots"))):
                 flat, ids = np.array(sketch.as_py(), np.int64).view(np.uint64), names.as_py()
-                for x, y in wide_forest(flat, np.array(size.as_py()), split.as_py(), max_bits, similarity, refs):
+                table_ = np.array(pivot.as_py(), np.int16)
+                for x, y in wide_forest(flat, table_, np.array(size.as_py()), split.as_py(), max_bits, similarity):
                     a.append(max(ids[x], ids[y]))
                     b.append(min(ids[x], ids[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
-    return met(filed, ["key"], "node", "size", "sketch").mapInArrow(search, "a string, b string").distinct()
+    return met(filed, ["key"], "node", "size", "sketch", "pivots").mapInArrow(search, "a string, b string").distinct()
 
 
 def similar_links(
@@ -401,11 +409,13 @@ def similar_links(
     from its text again, and are compared whole. A class of more than ``SET_BLOCK`` hashes is
     cut into blocks, every two of which meet, so memory is bounded and no pair is left out.
     """
-    trees = components(wide_links(nodes, max_bits, similarity))
-    grouped = checkpointed(trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct()))
-    asked = nodes.select("node", "size", "sketch", "__row").join(grouped, "node")
-    blocks = asked.groupBy("root").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("blocks"))
-    texts = docs.select(row_id().alias("__row"), "text").join(asked.join(blocks, "root").drop("size"), "__row")
+    members = grouped(components(wide_links(nodes, max_bits, similarity)))
+    asked = checkpointed(nodes.select("node", "size", "sketch", "__row").join(members, "node"))
+    blocks = asked.groupBy("root").agg(
+        F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")
+    )
+    placed = spread_join(asked, blocks, "root", "n", asked.count()).drop("size")
+    texts = docs.select(row_id().alias("__row"), "text").join(placed, "__row")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +475,7 @@ def drop_copies(
     """One row of each near-duplicate class: the one with the smallest doc_id (nulls last, then text digest)."""
     made = checkpointed(sketches(docs, shingle))
     one = lambda c: F.first(c).alias(c)
-    nodes = checkpointed(made.groupBy("node").agg(one("size"), one("sketch"), one("anchors"), F.min("__row").alias("__row")))
+    nodes = checkpointed(made.groupBy("node").agg(one("size"), one("sketch"), one("pivots"), one("anchors"), F.min("__row").alias("__row")))
     trees = components(similar_links(docs, nodes, shingle, max_bits, similarity)).withColumnRenamed("node", "n")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
     firsts = made.groupBy("node").agg(best)

@@ -104,7 +104,7 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.classes(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, 3])
+@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, (3, 3)])
 def test_links_miss_nothing(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "FILE_BLOCK", block)
     rng = np.random.default_rng(0)
@@ -121,7 +121,7 @@ def test_links_miss_nothing(spark, monkeypatch, block):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
-@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, 1])
+@pytest.mark.parametrize("block", [simhash.FILE_BLOCK, (1, 1)])
 def test_drop_copies_keeps_one_of_each(spark, odd, none, monkeypatch, block):
     words = [f"w{i}" for i in range(400)]
     near = words[:200] + ["changed"] + words[201:]
