@@ -10,7 +10,8 @@ planes it would have to cross. Its own leaves' sample vectors tell about how far
 neighbour is; seen along one plane a neighbour at distance r is r / sqrt(dim) away, and the walk
 ends when the margins exceed ``REACH`` times the square of that. In clustered data few leaves
 are that near, in data without structure about half of the rows are. ``SHARE`` of all leaves
-is the most that a walk takes. Leaves and the queries that reached them meet by leaf, where
+is the most that a walk takes. Products below those of its own leaves' k + 1 best sample
+vectors cannot be answers and are dropped where they arise. Leaves and the queries that reached them meet by leaf, where
 inner products in double precision rank the leaf's vectors; each query's best of all leaves
 are its answer.
 
@@ -103,18 +104,21 @@ class Forest:
                 out[:, t] = 2 * node + 1 + right
         return out - ((1 << self.depth) - 1)
 
-    def radius(self, query: np.ndarray, homes: list[tuple[int, int]], nearest: int) -> float:
-        """The squared distance of the sample vector that is the ``nearest``-th one in the query's own leaves."""
+    def near(self, query: np.ndarray, homes: list[tuple[int, int]]) -> np.ndarray:
+        """The inner products of the query and the sample vectors in its own leaves, largest first."""
         found = [self.members[t, self.starts[t, x] : self.starts[t, x + 1]] for t, x in homes]
-        near = self.sample[np.unique(np.concatenate(found))] - query
-        squares = np.einsum("ij,ij->i", near, near)
-        squares = np.sort(squares[squares > 1e-12 * self.norm**2])
-        return float(squares[min(nearest, len(squares)) - 1]) if len(squares) else np.inf
+        return np.sort(self.sample[np.unique(np.concatenate(found))] @ query)[::-1]
 
-    def probe(self, query: np.ndarray, nearest: int, reach: float = REACH, share: float = SHARE) -> list[tuple[int, int]]:
-        """(tree, leaf) of the leaves near the query (with its zero), by one priority queue over all trees."""
+    def probe(
+        self, query: np.ndarray, k: int, nearest: int, reach: float = REACH, share: float = SHARE
+    ) -> tuple[list[tuple[int, int]], float]:
+        """(tree, leaf) of the leaves near the query (with its zero), by one priority queue over all trees.
+
+        Also a product that k of the indexed vectors reach, so that no worse one is an answer.
+        ``nearest`` tells which sample vector is about as far as the k-th of all rows.
+        """
         trees, inner = len(self.planes), (1 << self.depth) - 1
-        most, limit = max(trees, int(np.ceil(share * trees * (inner + 1)))), np.inf
+        most, limit, floor = max(trees, int(np.ceil(share * trees * (inner + 1)))), np.inf, -np.inf
         margins = (self.planes @ query - self.offsets).tolist()
         queue = [(0.0, t, 0) for t in range(trees)]
         found: list[tuple[int, int]] = []
@@ -130,8 +134,14 @@ class Forest:
                 node = near
             found.append((t, node - inner))
             if len(found) == trees:
-                limit = reach * self.radius(query, found, nearest) / (len(query) - 1)
-        return found
+                products, length = self.near(query, found), float(query @ query)
+                floor = float(products[k - 1]) if len(products) >= k else -np.inf
+                # All lifted vectors have one norm; the query itself is no neighbour.
+                squares = self.norm**2 + length - 2 * products
+                squares = squares[squares > 1e-12 * self.norm**2]
+                if len(squares):
+                    limit = reach * float(squares[min(nearest, len(squares)) - 1]) / (len(query) - 1)
+        return found, floor
 
 
 def lifted(data: np.ndarray, norm: float) -> np.ndarray:
@@ -169,15 +179,12 @@ def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
     return order[np.arange(len(q)) - first < k]
 
 
-def scored(ids: list[np.ndarray], data: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """query, id and score of each query's k best among the rows, which have sorted ids each."""
+def scored(ids: list[np.ndarray], data: np.ndarray, asked: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """query, id and score of each query's k best among the rows, which have sorted ids each, not below its floor."""
     products = q @ data.T
     if len(data) > k:
-        least = np.partition(products, len(data) - k, axis=1)[:, len(data) - k]
-        least = least - 1e-9 * np.abs(least)
-    else:
-        least = np.full(len(q), -np.inf)
-    a, b = np.nonzero(products >= least[:, None])
+        floor = np.maximum(floor, np.partition(products, len(data) - k, axis=1)[:, len(data) - k])
+    a, b = np.nonzero(products >= (floor - 1e-9 * np.abs(np.maximum(floor, -1e300)))[:, None])
     exact, many = (q[a] * data[b]).sum(axis=1), np.fromiter(map(len, ids), np.int64, len(ids))[b]
     found = np.concatenate([ids[x] for x in b.tolist()]) if len(b) else np.zeros(0, np.int64)
     query, score = np.repeat(asked[a], many), np.repeat(exact, many)
@@ -207,12 +214,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = R
     sent = points.sparkSession.sparkContext.broadcast(forest)
     blocks = -(-totals["n"] // (BLOCK_ROWS << forest.depth))
     nearest = max(1, round(k * len(sample) / totals["n"]))
-    names = ["tree", "leaf", "block", "asks", "id", "ids", "vector"]
-    cells = "tree int, leaf int, block int, asks boolean, id long, ids array<bigint>, vector binary"
+    names = ["tree", "leaf", "block", "asks", "id", "ids", "vector", "floor"]
+    cells = "tree int, leaf int, block int, asks boolean, id long, ids array<bigint>, vector binary, floor double"
 
-    def row(tree: np.ndarray, leaf: np.ndarray, block: np.ndarray, asks: bool, ids: pa.Array, lists: pa.Array, vector: pa.Array) -> pa.RecordBatch:
+    def row(tree: np.ndarray, leaf: np.ndarray, block: np.ndarray, asks: bool, *rest: pa.Array) -> pa.RecordBatch:
         ints = [pa.array(x, pa.int32()) for x in (tree, leaf, block)]
-        return pa.RecordBatch.from_arrays([*ints, pa.array(np.full(len(leaf), asks)), ids, lists, vector], names=names)
+        return pa.RecordBatch.from_arrays([*ints, pa.array(np.full(len(leaf), asks)), *rest], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,17 +230,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = R
                 ids = np.fromiter((x[0].as_py() for x in lists), np.int64, len(lists))
                 block = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
                 for t in range(leaves.shape[1]):
-                    yield row(np.full(len(data), t), leaves[:, t], block.astype(np.int32), False, pa.array(ids), lists, vector)
+                    yield row(np.full(len(data), t), leaves[:, t], block.astype(np.int32), False, pa.array(ids), lists, vector, pa.nulls(len(ids), pa.float64()))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = _matrix(batch.column(1)) if batch.num_rows else []
             for asked, q in zip(batch.column(0).to_pylist(), data):
-                found = sent.value.probe(np.append(q.astype(np.float64), 0.0), nearest, reach, share)
+                found, floor = sent.value.probe(np.append(q.astype(np.float64), 0.0), k + 1, nearest, reach, share)
                 cut = np.repeat(np.array(found, np.int32), blocks, axis=0)
                 ids, vector = pa.array([asked] * len(cut), pa.int64()), pa.array([q.tobytes()] * len(cut), pa.binary())
                 lists = pa.nulls(len(cut), pa.list_(pa.int64()))
-                yield row(cut[:, 0], cut[:, 1], np.tile(np.arange(blocks), len(found)), True, ids, lists, vector)
+                yield row(cut[:, 0], cut[:, 1], np.tile(np.arange(blocks), len(found)), True, ids, lists, vector, pa.array(np.full(len(cut), floor)))
 
     kind = "<f4" if "float" in points.schema["embedding"].dataType.simpleString() else "<f8"
 
@@ -265,7 +272,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, reach: float = R
                 data = np.concatenate(rows) if data is None and rows else data
                 for at in range(0, y - x, QUERY_ROWS) if data is not None else ():
                     some = part.slice(at, QUERY_ROWS)
-                    answers.append(scored(lists, data, some.column(4).to_numpy(), matrix(some.column(6)), k + 1))
+                    answers.append(scored(lists, data, some.column(4).to_numpy(), matrix(some.column(6)), some.column(7).to_numpy(), k + 1))
                     n += len(answers[-1][0])
                 if n > HELD:
                     q, ids, score = (np.concatenate(c) for c in zip(*answers))
