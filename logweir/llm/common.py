@@ -68,14 +68,14 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], counted
 
     Keys that hold more than one in ``HOT_KEYS`` of the ``total`` rows are fewer than
     ``HOT_KEYS``, so they are broadcast and their rows stay where they are; no key of the
-    shuffled rest is large. ``rows`` is read twice. ``counted`` is dropped; a left join keeps
+    shuffled rest is large; it is shuffled at every size alike. ``rows`` is read twice. ``counted`` is dropped; a left join keeps
     rows without a key in ``keyed``.
     """
     hot = keyed.filter(F.col(counted) * HOT_KEYS > total).drop(counted)
     cold = keyed.filter(F.col(counted) * HOT_KEYS <= total).drop(counted)
     keys = [key] if isinstance(key, str) else key
     rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key, how))
 
 
 def hash_order(*parts: Column) -> Column:
