@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 from logweir.plans.registry import QUERIES
 
 HEADLINE = (
-    "log_scan", "read_committed_fetch", "high_watermark", "offset_for_timestamp", "consumer_lag",
+    "log_ingest", "log_scan", "read_committed_fetch", "high_watermark", "offset_for_timestamp", "consumer_lag",
     "sequence_validate", "txn_visibility", "outbox_due", "metrics_overview", "nearest_rank_percentiles",
 )
 
@@ -25,6 +26,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -1,9 +1,9 @@
-"""Key hashing, partition routing and percentage sampling as JVM-side column expressions."""
+"""Key hashing, partition routing and percentage sampling as column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,44 +13,44 @@ M = 0x5BD1E995
 MASK = 0xFFFFFFFF
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def hashed(keys: pa.Array) -> np.ndarray:
+    """Unsigned murmur2 of each binary key (of a null as of an empty one), word by word for all keys at once."""
+    keys = keys.cast(pa.binary())
+    _, ends, bytes_ = keys.buffers()
+    ends = np.frombuffer(ends, np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data = np.frombuffer(bytes_, np.uint8) if bytes_ is not None else np.zeros(0, np.uint8)
+    start, n, m = ends[:-1], np.diff(ends), np.uint32(M)
+    h, left, at = n.astype(np.uint32) ^ np.uint32(SEED), np.flatnonzero(n >= 4), 0
+    byte = lambda where, i: data[where + i].astype(np.uint32) << np.uint32(8 * i)
+    while len(left):
+        where = start[left] + at
+        k = (byte(where, 0) | byte(where, 1) | byte(where, 2) | byte(where, 3)) * m
+        k = (k ^ (k >> np.uint32(24))) * m
+        h[left] = h[left] * m ^ k
+        at += 4
+        left = left[n[left] >= at + 4]
+    rest = n % 4
+    for i in (2, 1, 0):
+        some = np.flatnonzero(rest > i)
+        h[some] ^= byte(start[some] + n[some] - rest[some], i)
+    h[rest > 0] *= m
+    h = (h ^ (h >> np.uint32(13))) * m
+    return h ^ (h >> np.uint32(15))
 
 
-def _times(h: Column) -> Column:
-    """h * M modulo 2**32; h is below 2**32 and M below 2**31, so the product fits a long."""
-    return (h * F.lit(M)).bitwiseAND(F.lit(MASK))
+def murmur2_udf():
+    """The hash as an Arrow function of binary keys."""
 
+    @F.arrow_udf("long")
+    def murmur2(keys: pa.Array) -> pa.Array:
+        return pa.array(hashed(keys).astype(np.int64), mask=keys.is_null().to_numpy(zero_copy_only=False))
 
-def _shifted(h: Column, bits: int) -> Column:
-    return let(h, lambda x: x.bitwiseXOR(F.shiftright(x, bits)))
+    return murmur2
 
 
 def murmur2(key: Column) -> Column:
     """Unsigned murmur2 of a string or binary column, as a long; null for null."""
-    # Two hex digits a byte; the split leaves an empty last part, which goes.
-    pairs = F.filter(F.split(F.regexp_replace(F.hex(key), "(..)", "$1,"), ","), lambda x: x != "")
-    return let(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long")), _hashed)
-
-
-def _hashed(data: Column) -> Column:
-    """The hash of an array of byte values: a fold over its words, the tail, the finish."""
-    n = F.size(data)
-    rest = n % 4
-
-    def byte(at: Column, i: int) -> Column:
-        return F.shiftleft(F.get(data, at + i), 8 * i)
-
-    def word(h: Column, at: Column) -> Column:
-        k = byte(at, 0) + byte(at, 1) + byte(at, 2) + byte(at, 3)
-        return _times(h).bitwiseXOR(_times(_shifted(_times(k), 24)))
-
-    starts = F.filter(F.transform(data, lambda _, i: i), lambda i: (i % 4 == 0) & (i + 4 <= n))
-    body = F.aggregate(starts, F.lit(SEED).bitwiseXOR(n.cast("long")), word)
-    tail = sum((F.coalesce(byte(n - rest, i), F.lit(0).cast("long")) for i in (1, 2)), F.coalesce(byte(n - rest, 0), F.lit(0).cast("long")))
-    mixed = let(body, lambda h: F.when(rest > 0, _times(h.bitwiseXOR(tail))).otherwise(h))
-    return _shifted(_times(_shifted(mixed, 13)), 15)
+    return murmur2_udf()(key.cast("binary"))
 
 
 def partition_for(key: Column, partitions: Column, fallback: Column, explicit: Column | None = None) -> Column:
@@ -75,4 +75,3 @@ def forwarded(key: Column, offset: Column, percent: Column) -> Column:
     keyed = key.isNotNull() & (F.octet_length(key) > 0)
     bucket = F.when(keyed, murmur2(key) % 100).otherwise(F.abs(offset) % 100)
     return F.when(percent <= 0, F.lit(False)).when(percent >= 100, F.lit(True)).otherwise(bucket < percent)
-

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.functions.ordering import numbered
 from logweir.sources.log import KEYS
 
 TOPIC_NAME = r"^[A-Za-z0-9._-]{1,249}$"
@@ -14,21 +15,63 @@ TOPIC_NAME = r"^[A-Za-z0-9._-]{1,249}$"
 TOPIC_EXISTS, INVALID_TOPIC, INVALID_PARTITIONS, UNKNOWN_TOPIC = 36, 17, 37, 3
 
 
+# Estimated overheads of a request, a topic and a partition.
+REQUEST_BYTES, TOPIC_BYTES, PARTITION_BYTES = 256, 32, 48
+
+
 def valid_name(name: Column) -> Column:
     return F.coalesce(F.rlike(name, F.lit(TOPIC_NAME)) & ~name.isin(".", ".."), F.lit(False))
 
 
 def create_topics(requests: DataFrame, topics: DataFrame) -> DataFrame:
-    """error_code of (topic, partitions) requests, and the id and partitions of the created ones."""
+    """error_code of (request, topic, partitions) requests, and the id and partitions of the created ones.
+
+    Of several requests for one new name the first (by ``request``) creates it. Ids follow the
+    order of the requests, numbered by slices.
+    """
     old = topics.select("topic", F.lit(True).alias("__old"))
-    code = F.when(~valid_name(F.col("topic")), INVALID_TOPIC).when(F.col("__old"), TOPIC_EXISTS).otherwise(0)
+    again = F.row_number().over(Window.partitionBy("topic").orderBy("request")) > 1
+    code = F.when(~valid_name(F.col("topic")), INVALID_TOPIC).when(F.col("__old") | again, TOPIC_EXISTS).otherwise(0)
     judged = requests.join(old, "topic", "left").withColumn("error_code", code).drop("__old")
     top = topics.agg(F.coalesce(F.max("topic_id"), F.lit(0))).scalar()
-    by_name = Window.partitionBy("error_code").orderBy("topic")
-    fresh = F.col("error_code") == 0
-    return judged.withColumn(
-        "topic_id", F.when(fresh, top + F.row_number().over(by_name)).cast("int")
-    ).withColumn("partitions", F.when(F.col("partitions") <= 0, 1).otherwise(F.col("partitions")))
+    placed = numbered(judged, "request", {"__at": ["error_code"]})
+    created = F.when(F.col("error_code") == 0, top + F.col("__at") + 1).cast("int")
+    return placed.withColumn("topic_id", created).withColumn(
+        "partitions", F.when(F.col("partitions") <= 0, 1).otherwise(F.col("partitions"))
+    ).drop("__at")
+
+
+def get_or_create_topics(names: DataFrame, topics: DataFrame, default_partitions: int) -> DataFrame:
+    """topic_id, topic, partitions of every distinct valid name (topic), new ones with the default number."""
+    wanted = names.select("topic").distinct()
+    fresh = wanted.join(topics, "topic", "left_anti").select("topic", F.lit(default_partitions).alias("partitions"))
+    at = F.row_number().over(Window.partitionBy("__slice").orderBy("topic"))
+    # Names are numbered by their order inside 4096 hash slices and the slices' running counts.
+    sliced = fresh.withColumn("__slice", F.pmod(F.xxhash64("topic"), F.lit(4096)))
+    numbered_ = sliced.withColumn("request", F.col("__slice") * (1 << 40) + at)
+    made = create_topics(numbered_.drop("__slice"), topics).filter("error_code = 0")
+    columns = ["topic_id", "topic", "partitions"]
+    return topics.join(wanted, "topic", "left_semi").select(*columns).unionByName(made.select(*columns))
+
+
+def topic_lookup(names: DataFrame, topics: DataFrame) -> DataFrame:
+    """Whether each name (topic) exists, with its id and partitions, else -1 and 0."""
+    known = topics.select("topic", "topic_id", "partitions")
+    return names.join(known, "topic", "left").select(
+        *names.columns,
+        F.col("topic_id").isNotNull().alias("known"),
+        F.coalesce("topic_id", F.lit(-1)).alias("topic_id"),
+        F.coalesce("partitions", F.lit(0)).alias("partitions"),
+    )
+
+
+def with_partition_counts(topics: DataFrame, changes: DataFrame) -> DataFrame:
+    """Topics after (topic, new_partitions) requests: counts grow to the largest valid request, never shrink."""
+    good = create_partitions(changes, topics).filter("error_code = 0")
+    grown = good.groupBy("topic").agg(F.max("new_partitions").alias("__grown"))
+    return topics.join(grown, "topic", "left").withColumn(
+        "partitions", F.greatest(F.col("partitions"), F.coalesce("__grown", F.lit(0))).cast("int")
+    ).drop("__grown")
 
 
 def create_partitions(requests: DataFrame, topics: DataFrame) -> DataFrame:
@@ -72,29 +115,60 @@ def headers_json(pairs: Column) -> Column:
     return F.to_json(F.map_from_entries(F.transform(kept, lambda p: F.struct(p["name"], F.lower(F.hex(p["value"]))))))
 
 
+def request_sizes(records: DataFrame) -> DataFrame:
+    """Estimated bytes of produce requests of (request, topic, partition_id, size) records, with the overheads of each level."""
+    parts = records.groupBy("request", "topic", "partition_id").agg((F.sum("size") + PARTITION_BYTES).alias("size"))
+    per_topic = parts.groupBy("request", "topic").agg((F.sum("size") + F.octet_length("topic") + TOPIC_BYTES).alias("size"))
+    return per_topic.groupBy("request").agg((F.sum("size") + REQUEST_BYTES).cast("long").alias("size"))
+
+
+METRICS = (
+    ("topics", "count", "topics"),
+    ("messages", "count", "messages"),
+    ("messages", "total_bytes", "bytes"),
+    ("consumer_groups", "active_members", "members"),
+    ("consumer_offsets", "committed", "offsets"),
+    ("producers", "active", "producers"),
+    ("transactions", "ongoing", "transactions"),
+    ("transactions", "pending_messages", "messages"),
+    ("shadow", "forwarded", "messages"),
+    ("shadow", "failed", "messages"),
+    ("shadow", "lag", "messages"),
+)
+
+
 def metrics_overview(log: DataFrame, topics: DataFrame, members: DataFrame, commits: DataFrame, producers: DataFrame, states: DataFrame, outbox: DataFrame, as_of_ms: int) -> DataFrame:
-    """(category, metric, value, unit): eleven aggregates."""
+    """(category, metric, value, unit): eleven aggregates, from one pass over each relation."""
     n = F.count(F.lit(1))
     size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
     sent = F.col("external_offset").isNotNull()
-    parts = [
-        ("topics", "count", "topics", topics.agg(n.alias("v"))),
-        ("messages", "count", "messages", log.agg(n.alias("v"))),
-        ("messages", "total_bytes", "bytes", log.agg(F.sum(size).alias("v"))),
-        ("consumer_groups", "active_members", "members", members.agg(F.countDistinct("group_id", "member_id").alias("v"))),
-        ("consumer_offsets", "committed", "offsets", commits.agg(n.alias("v"))),
-        ("producers", "active", "producers", producers.filter(F.col("last_active_ms") > as_of_ms - 300_000).agg(n.alias("v"))),
-        ("transactions", "ongoing", "transactions", states.filter("state = 'Ongoing'").agg(n.alias("v"))),
-        ("transactions", "pending_messages", "messages", log.filter("txn_state = 'pending'").agg(n.alias("v"))),
-        ("shadow", "forwarded", "messages", outbox.agg(F.count_if(sent).alias("v"))),
-        ("shadow", "failed", "messages", outbox.agg(F.count_if(~sent & F.col("error").isNotNull()).alias("v"))),
-        ("shadow", "lag", "messages", log.agg((F.max("partition_offset") - F.coalesce(outbox.agg(F.max(F.when(sent, F.col("local_offset")))).scalar(), F.lit(0))).alias("v"))),
-    ]
-    rows = [
-        df.select(F.lit(c).alias("category"), F.lit(m).alias("metric"), F.coalesce("v", F.lit(0)).cast("long").alias("value"), F.lit(u).alias("unit"))
-        for c, m, u, df in parts
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    # The lag is a difference of two relations; each contributes its part of the sum.
+    passes = [
+        (topics, {("topics", "count"): n}),
+        (log, {
+            ("messages", "count"): n,
+            ("messages", "total_bytes"): F.sum(size),
+            ("transactions", "pending_messages"): F.count_if(F.col("txn_state") == "pending"),
+            ("shadow", "lag"): F.max("partition_offset"),
+        }),
+        (members, {("consumer_groups", "active_members"): F.countDistinct("group_id", "member_id")}),
+        (commits, {("consumer_offsets", "committed"): n}),
+        (producers, {("producers", "active"): F.count_if(F.col("last_active_ms") > as_of_ms - 300_000)}),
+        (states, {("transactions", "ongoing"): F.count_if(F.col("state") == "Ongoing")}),
+        (outbox, {
+            ("shadow", "forwarded"): F.count_if(sent),
+            ("shadow", "failed"): F.count_if(~sent & F.col("error").isNotNull()),
+            ("shadow", "lag"): -F.max(F.when(sent, F.col("local_offset"))),
+        }),
+    ]
+    units = {(c, m): u for c, m, u in METRICS}
+
+    def rows(df: DataFrame, measures: dict[tuple[str, str], Column]) -> DataFrame:
+        named = [F.struct(F.lit(c).alias("category"), F.lit(m).alias("metric"), F.lit(units[c, m]).alias("unit"), F.coalesce(v, F.lit(0)).cast("long").alias("v")) for (c, m), v in measures.items()]
+        return df.agg(F.array(*named).alias("all")).select(F.inline("all"))
+
+    parts = reduce(DataFrame.unionByName, [rows(df, measures) for df, measures in passes])
+    return parts.groupBy("category", "metric", "unit").agg(F.sum("v").alias("value")).select("category", "metric", "value", "unit")
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:

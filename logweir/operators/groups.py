@@ -54,6 +54,29 @@ def expired_members(members: DataFrame, as_of_ms: int) -> DataFrame:
     return members.filter((F.lit(as_of_ms) - F.col("heartbeat_ms") > F.col("timeout_ms")) | (F.col("timeout_ms") <= 0))
 
 
+def live_groups(members: DataFrame, as_of_ms: int) -> DataFrame:
+    """group_id and its members left after expiry; groups that lose all of them go."""
+    gone = expired_members(members, as_of_ms).select("group_id", "member_id")
+    return members.join(gone, ["group_id", "member_id"], "left_anti").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+def unread(log: DataFrame, current: DataFrame) -> DataFrame:
+    """group_id and the records that each group has still to read: from its committed offset on.
+
+    ``current`` has one row a group and partition, with -1 or 0 where nothing is committed.
+    """
+    marks = current.select("group_id", *KEYS, "committed_offset")
+    return log.join(marks, KEYS).filter(F.col("partition_offset") >= F.col("committed_offset"))
+
+
+def positions(current: DataFrame, partitions: DataFrame, group_id: str) -> DataFrame:
+    """A group's position in every partition: its committed offset, or -1."""
+    own = current.filter(F.col("group_id") == group_id).select(*KEYS, "committed_offset")
+    return partitions.select(*KEYS).join(own, KEYS, "left").select(
+        F.lit(group_id).alias("group_id"), *KEYS, F.coalesce("committed_offset", F.lit(-1)).alias("committed_offset")
+    )
+
+
 def common_protocol(members: DataFrame) -> DataFrame:
     """Each group's protocol: the leader's first choice that every member supports, else its first."""
     wide = members.groupBy("group_id").agg(
@@ -68,6 +91,32 @@ def priority(protocol: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), protocol), F.lit(0))
 
 
+def preferred_protocol(members: DataFrame) -> DataFrame:
+    """Each group's protocol of highest priority among those that every member supports, or null; ties by name."""
+    own = members.select("group_id", "member_id", F.explode("protocols").alias("p")).select("group_id", "member_id", F.lower("p").alias("p")).distinct()
+    sizes = members.select("group_id", "member_id").distinct().groupBy("group_id").agg(F.count(F.lit(1)).alias("m"))
+    shared = own.groupBy("group_id", "p").agg(F.count(F.lit(1)).alias("n")).join(sizes, "group_id").filter("n = m")
+    best = shared.groupBy("group_id").agg(F.max_by("p", F.struct(priority(F.col("p")), "p")).alias("protocol"))
+    return sizes.select("group_id").join(best, "group_id", "left")
+
+
+def assign(members: DataFrame, topics: DataFrame, previous: DataFrame, protocols: DataFrame) -> DataFrame:
+    """The assignment of every group by its own protocol (group_id, protocol); unknown protocols assign nothing."""
+    named = protocols.select("group_id", F.lower("protocol").alias("__p"))
+    of = lambda *names: members.join(named.filter(F.col("__p").isin(*names)).select("group_id"), "group_id", "left_semi")
+    return (
+        assign_range(of("range"), topics)
+        .unionByName(assign_roundrobin(of("roundrobin"), topics))
+        .unionByName(assign_sticky(of("sticky", "cooperative-sticky"), topics, previous))
+    )
+
+
+def unassigned(members: DataFrame, topics: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Partitions of subscribed topics that no member of the group has."""
+    parts = _subscribed(members, topics).select("group_id", "topic", F.explode(F.expr("sequence(0, partitions - 1)")).alias("partition_id"))
+    return parts.distinct().join(assigned, ["group_id", "topic", "partition_id"], "left_anti")
+
+
 def _subscribed(members: DataFrame, topics: DataFrame) -> DataFrame:
     return members.select("group_id", "member_id", F.explode(F.array_distinct("topics")).alias("topic")).join(
         topics.filter("partitions > 0").select("topic", "partitions"), "topic"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.ordering import numbered
+from logweir.functions.ordering import SLICE, numbered
 from logweir.sources.log import KEYS
 
 #: A row's estimated overhead, and the estimate by which a byte budget limits rows.
@@ -16,11 +16,18 @@ MIN_ROWS, MAX_ROWS = 10, 5000
 
 def append(records: DataFrame, counters: DataFrame, order: str = "global_offset") -> DataFrame:
     """``records`` with partition_offset from the counters (topic_id, partition_id, next_offset) on."""
-    placed = numbered(records, KEYS, order, "__at").join(counters.select(*KEYS, "next_offset"), KEYS, "left")
+    placed = numbered(records, order, {"__at": KEYS}).join(counters.select(*KEYS, "next_offset"), KEYS, "left")
     at = F.coalesce("next_offset", F.lit(0)) + F.col("__at")
     return placed.withColumn("partition_offset", at.cast("long")).drop("__at", "next_offset")
 
 
+def transactional(records: DataFrame, producer_id: int, producer_epoch: int) -> DataFrame:
+    """``records`` as a transaction's: its producer's, and pending until the transaction ends."""
+    return records.withColumns(
+        {"producer_id": F.lit(producer_id).cast("long"), "producer_epoch": F.lit(producer_epoch), "txn_state": F.lit("pending")}
+    )
+
+
 def counters(log: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """next_offset of every partition; never below an older counter, so offsets are not reused."""
     found = log.groupBy(*KEYS).agg((F.max("partition_offset") + 1).alias("next_offset"))
@@ -62,6 +69,12 @@ def visible(log: DataFrame, committed: bool) -> DataFrame:
     return clean.filter("__pending IS NULL OR partition_offset < __pending").drop("__pending")
 
 
+def pending_exists(partitions: DataFrame, log: DataFrame) -> DataFrame:
+    """Whether each partition holds a pending record."""
+    some = log.filter("txn_state = 'pending'").select(*KEYS).distinct().withColumn("has_pending", F.lit(True))
+    return partitions.select(*KEYS).join(some, KEYS, "left").fillna(False, ["has_pending"])
+
+
 def stored_bytes(key: Column, value: Column) -> Column:
     none = F.lit(0)
     return F.coalesce(F.octet_length(key), none) + F.coalesce(F.octet_length(value), none) + ROW_OVERHEAD
@@ -82,37 +95,59 @@ def fetch(log: DataFrame, start: int, max_bytes: int, committed: bool = True) ->
     return summed.filter((F.col("bytes") <= max_bytes) | (F.col("__rank") == 1)).drop("__rank")
 
 
-def offset_for_time(log: DataFrame, probes: DataFrame) -> DataFrame:
+#: Milliseconds of a time slice of ``offset_for_time``.
+TIME_SLICE = 3_600_000
+
+
+def offset_for_time(log: DataFrame, probes: DataFrame, width: int = TIME_SLICE) -> DataFrame:
     """The first committed offset at or after each probe (probe_ms) in each partition, or (-1, -1).
 
     Offsets decide, not times; rows without a time never match and pending rows don't clamp.
-    Probes are cut into a sorted array of thresholds: every row finds the first probe it
-    answers and a minimum over later probes completes it, so no row meets every probe.
+    Slices of time give their lowest offset in one aggregate, and a running minimum over the
+    slices, latest first, serves what lies beyond a probe's own slice. Only rows of slices that
+    hold a probe meet it, in time order. No row meets every probe.
     """
-    w = Window.partitionBy(*KEYS).orderBy(F.desc("probe_ms"))
-    sorted_probes = F.sort_array(F.lit([int(r["probe_ms"]) for r in probes.distinct().collect()]))
-    dated = log.filter("txn_state IS NULL AND timestamp_ms >= 0")
-    served = dated.withColumn(
-        "probe_ms", F.array_max(F.filter(sorted_probes, lambda p: p <= F.col("timestamp_ms")))
-    ).filter("probe_ms IS NOT NULL")
-    firsts = served.groupBy(*KEYS, "probe_ms").agg(
-        F.min(F.struct("partition_offset", "timestamp_ms")).alias("first")
+    dated = log.filter("txn_state IS NULL AND timestamp_ms >= 0").select(
+        *KEYS, F.col("timestamp_ms").alias("at_ms"), F.struct("partition_offset", "timestamp_ms").alias("first"), F.lit(0).alias("asks")
+    )
+    slice_ = F.floor(F.col("at_ms") / width).alias("slice")
+    asked = probes.agg(F.collect_set("probe_ms")).scalar()
+    every = log.select(*KEYS).distinct().select(
+        *KEYS, F.explode(asked).alias("at_ms"), F.lit(None).cast(dated.schema["first"].dataType).alias("first"), F.lit(1).alias("asks")
+    )
+    sliced, questions = dated.withColumn("slice", slice_), every.withColumn("slice", slice_)
+    hit = questions.select(*KEYS, "slice").distinct()
+    # At equal times rows come before probes, which they answer.
+    upto = Window.partitionBy(*KEYS, "slice").orderBy(F.desc("at_ms"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.join(hit, [*KEYS, "slice"], "left_semi").unionByName(questions).withColumn("own", F.min("first").over(upto)).filter("asks = 1")
+    later = Window.partitionBy(*KEYS).orderBy(F.desc("slice"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    lowest = sliced.groupBy(*KEYS, "slice").agg(F.min("first").alias("first")).select(
+        *KEYS, (F.col("slice") - 1).alias("slice"), "first", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("at_ms"), F.lit(None).cast(dated.schema["first"].dataType).alias("own")
     )
-    every = log.select(*KEYS).distinct().withColumn("probe_ms", F.explode(sorted_probes))
-    best = F.min("first").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return every.join(firsts, [*KEYS, "probe_ms"], "left").select(
+    answered = lowest.unionByName(inside).withColumn("beyond", F.min("first").over(later)).filter("asks = 1")
+    best = F.least("own", "beyond")
+    return answered.select(
         *KEYS,
-        "probe_ms",
+        F.col("at_ms").alias("probe_ms"),
         F.coalesce(best["partition_offset"], F.lit(-1)).cast("long").alias("offset"),
         F.coalesce(best["timestamp_ms"], F.lit(-1)).cast("long").alias("timestamp_ms"),
     )
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """from_offset, missing: holes between consecutive offsets of a partition."""
-    later = F.lead("partition_offset").over(Window.partitionBy(*KEYS).orderBy("partition_offset"))
-    return log.withColumn("__missing", later - F.col("partition_offset") - 1).filter("__missing > 0").select(
-        *KEYS, (F.col("partition_offset") + 1).alias("from_offset"), F.col("__missing").cast("long").alias("missing")
+def gaps(log: DataFrame, slice_width: int = SLICE) -> DataFrame:
+    """from_offset, missing: holes between consecutive offsets of a partition.
+
+    Rows are compared inside slices of offsets; a window over the slices' borders finds the
+    holes between slices.
+    """
+    own = log.select(*KEYS, "partition_offset", F.floor(F.col("partition_offset") / slice_width).alias("__slice"))
+    next_row = F.lead("partition_offset").over(Window.partitionBy(*KEYS, "__slice").orderBy("partition_offset"))
+    next_slice = F.lead("low").over(Window.partitionBy(*KEYS).orderBy("__slice"))
+    inside = own.select(*KEYS, F.col("partition_offset").alias("at"), next_row.alias("next"))
+    ends = own.groupBy(*KEYS, "__slice").agg(F.min("partition_offset").alias("low"), F.max("partition_offset").alias("at"))
+    between = ends.select(*KEYS, "at", next_slice.alias("next"))
+    return inside.unionByName(between).filter("next > at + 1").select(
+        *KEYS, (F.col("at") + 1).alias("from_offset"), (F.col("next") - F.col("at") - 1).cast("long").alias("missing")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ INT_MAX = 2**31 - 1
 MAX_EPOCH = 32767
 PROCEED, DUPLICATE, OUT_OF_ORDER = "proceed", "duplicate", "out_of_order"
 # Public protocol error codes.
-UNKNOWN_PRODUCER, FENCED = 59, 90
+UNKNOWN_PRODUCER, FENCED, OUT_OF_SEQUENCE = 59, 90, 45
 
 
 def validate_sequence(last: int, base: int, count: int) -> tuple[str, int]:
@@ -39,14 +40,27 @@ def sequence_outcomes(batches: DataFrame) -> DataFrame:
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, -1
         for rows in frames:
-            outcomes, expected = [], []
-            for *now, base, count in rows[[*keys, "base_sequence", "n_records"]].itertuples(index=False):
-                if now != key:
-                    key, last = now, -1
-                wanted = last + 1
-                outcome, last = validate_sequence(last, base, count)
-                outcomes.append(outcome)
-                expected.append(wanted)
+            if rows.empty:
+                continue
+            ids = rows[keys].to_numpy()
+            base, count = (rows[c].to_numpy(np.int64) for c in ("base_sequence", "n_records"))
+            end = base + np.maximum(count, 1) - 1
+            fresh = np.concatenate(([tuple(ids[0]) != key], (ids[1:] != ids[:-1]).any(axis=1)))
+            # A batch that continues the one before it is in sequence if that one was.
+            runs_on = np.concatenate(([False], (base[1:] == end[:-1] + 1) & (count[1:] >= 0) & (end[1:] <= INT_MAX))) & ~fresh
+            stops = np.append(np.flatnonzero(~runs_on), len(rows))
+            outcomes, expected, at = np.empty(len(rows), object), np.empty(len(rows), np.int64), 0
+            while at < len(rows):
+                last = -1 if fresh[at] else last
+                expected[at] = last + 1
+                outcomes[at], last = validate_sequence(last, int(base[at]), int(count[at]))
+                at += 1
+                if outcomes[at - 1] == PROCEED:
+                    stop = int(stops[np.searchsorted(stops, at)])
+                    if stop > at:
+                        outcomes[at:stop], expected[at:stop], last = PROCEED, base[at:stop], int(end[stop - 1])
+                        at = stop
+            key = tuple(ids[-1])
             yield rows.assign(outcome=outcomes, expected=expected)
 
     own = batches.select(*keys, "arrival", "base_sequence", "n_records")
@@ -76,12 +90,28 @@ def epoch_fence(batches: DataFrame, producers: DataFrame) -> DataFrame:
     return batches.join(known, "producer_id", "left").withColumn("error_code", code).drop("__epoch")
 
 
-def producer_epochs(inits: DataFrame) -> DataFrame:
+def produced(batches: DataFrame, producers: DataFrame) -> DataFrame:
+    """error_code, outcome and stored of produce batches: fenced first, then in sequence, then stored.
+
+    A fenced batch does not touch its key's sequence; a duplicate is answered like a success
+    but not stored again. ``batches`` also has producer_epoch.
+    """
+    judged = epoch_fence(batches, producers)
+    passed = sequence_outcomes(judged.filter("error_code = 0")).select("arrival", "outcome")
+    code = F.when(F.col("outcome") == OUT_OF_ORDER, OUT_OF_SEQUENCE).otherwise(F.col("error_code"))
+    return (
+        judged.join(passed, "arrival", "left")
+        .withColumn("error_code", code)
+        .withColumn("stored", F.coalesce(F.col("outcome") == PROCEED, F.lit(False)))
+    )
+
+
+def producer_epochs(inits: DataFrame, max_epoch: int = MAX_EPOCH) -> DataFrame:
     """Latest generation and epoch of each transactional id from its n-th initialisations.
 
     Beyond the largest epoch a new producer id starts at epoch 0: ``generation`` counts those.
     """
     n = F.count(F.lit(1)) - 1
     return inits.groupBy("txn_id").agg(
-        F.floor(n / (MAX_EPOCH + 1)).cast("long").alias("generation"), (n % (MAX_EPOCH + 1)).cast("int").alias("producer_epoch")
+        F.floor(n / (max_epoch + 1)).cast("long").alias("generation"), (n % (max_epoch + 1)).cast("int").alias("producer_epoch")
     )

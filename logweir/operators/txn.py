@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.operators.producer import producer_epochs
 from logweir.sources.log import KEYS
 
 BEGIN = "begin"
@@ -38,10 +39,59 @@ def visibility(events: DataFrame) -> DataFrame:
 
     A record's fate is the first end marker of its transactional id after it; an init aborts.
     """
-    ahead = Window.partitionBy("txn_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    marker = F.first(F.when(F.col("action") != BEGIN, F.col("action")), ignorenulls=True).over(ahead)
     fate = F.when(F.col("marker").isNull(), "pending").when(F.col("marker") != "commit", "aborted")
-    return events.withColumn("marker", marker).filter(F.col("action") == BEGIN).select("txn_id", "seq", fate.alias("txn_state"))
+    return ended_by(events).select("txn_id", "seq", fate.alias("txn_state"))
+
+
+def ended_by(events: DataFrame) -> DataFrame:
+    """txn_id, seq and marker of every record written: the action that ended its transaction, or null.
+
+    Rows run backwards, so that the frame grows at its end and is not evaluated anew for each row.
+    """
+    ahead = Window.partitionBy("txn_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    marker = F.last(F.when(F.col("action") != BEGIN, F.col("action")), ignorenulls=True).over(ahead)
+    return events.withColumn("marker", marker).filter(F.col("action") == BEGIN).select("txn_id", "seq", "marker")
+
+
+def begun(requests: DataFrame, states: DataFrame, continuing: bool) -> DataFrame:
+    """error_code of (txn_id, producer_epoch, at_ms) requests to begin, and the state and start after them.
+
+    An ongoing transaction may be begun again, keeping its start, only where ``continuing``.
+    """
+    own = states.select("txn_id", F.col("producer_epoch").alias("__epoch"), F.col("state").alias("__state"), F.col("started_ms").alias("__started"))
+    ongoing = F.col("__state") == "Ongoing"
+    code = (
+        F.when(F.col("__epoch").isNull(), NOT_FOUND)
+        .when(F.col("__epoch") != F.col("producer_epoch"), FENCED)
+        .when(F.lit(not continuing) & ongoing, INVALID_STATE)
+        .otherwise(0)
+    )
+    good = F.col("error_code") == 0
+    return (
+        requests.join(own, "txn_id", "left")
+        .withColumn("error_code", code)
+        .withColumn("state", F.when(good, "Ongoing").otherwise(F.col("__state")))
+        .withColumn("started_ms", F.when(good & ~ongoing, F.col("at_ms")).otherwise(F.col("__started")))
+        .drop("__epoch", "__state", "__started")
+    )
+
+
+def reconnected(events: DataFrame, pending: DataFrame, max_epoch: int) -> DataFrame:
+    """Per transactional id what its initialisations did: generation and epoch, records aborted, offsets dropped.
+
+    A reconnecting producer aborts the open records of its older epochs and drops their pending
+    offsets (``pending``: txn_id, seq); beyond ``max_epoch`` a new producer id starts at epoch 0.
+    """
+    inits = events.filter("action = 'init'")
+    aborted = ended_by(events).filter("marker = 'init'")
+    dropped = aborted.join(pending.select("txn_id", "seq"), ["txn_id", "seq"], "left_semi")
+    count = lambda df, name: df.groupBy("txn_id").agg(F.count(F.lit(1)).alias(name))
+    return (
+        producer_epochs(inits, max_epoch)
+        .join(count(aborted, "aborted"), "txn_id", "left")
+        .join(count(dropped, "dropped_offsets"), "txn_id", "left")
+        .fillna(0, ["aborted", "dropped_offsets"])
+    )
 
 
 def timed_out(states: DataFrame, timeouts: DataFrame, as_of_ms: int) -> DataFrame:

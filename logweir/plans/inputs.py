@@ -16,12 +16,13 @@ PROBES = (0, 1_704_500_000_000, 1_705_300_000_000, 1_706_000_000_000, 1_800_000_
 
 
 def commits(log: DataFrame) -> DataFrame:
-    seq = F.col("global_offset")
-    return log.filter(seq % 7 == 0).select(
-        F.concat(F.lit("group-"), (seq % 3).cast("string")).alias("group_id"),
+    """A commit for every record, by the group of its producer; some rewind, by the length of the value."""
+    behind = F.length("value") % 3
+    return log.select(
+        F.concat(F.lit("group-"), (F.col("producer_id") % 3).cast("string")).alias("group_id"),
         *KEYS,
-        (F.col("partition_offset") + 1).alias("committed_offset"),
-        seq.alias("seq"),
+        F.greatest(F.col("partition_offset") + 1 - behind, F.lit(0)).alias("committed_offset"),
+        F.col("global_offset").alias("seq"),
     )
 
 
@@ -69,6 +70,7 @@ def config(spark: SparkSession) -> DataFrame:
         (2, "shadow", 10, "errors-out", "external_only"),
         (3, "shadow", 25, None, "dual_write"),
         (4, "local", 90, None, "dual_write"),
+        (5, "shadow", 0, None, "external_only"),
     ]
     return spark.createDataFrame(
         rows, "topic_id INT, mode STRING, forward_percentage INT, external_topic_name STRING, write_mode STRING"
@@ -88,6 +90,24 @@ def outbox(log: DataFrame) -> DataFrame:
     )
 
 
+def acks(outbox_: DataFrame) -> DataFrame:
+    """Two rounds of acknowledgements of every queued row."""
+    at = F.col("local_offset")
+    ack = lambda seq, ok, error: F.struct(F.lit(seq).alias("seq"), ok.alias("ok"), (at + seq * 1_000_000).alias("external_offset"), F.lit(error).alias("error"))
+    both = F.array(ack(5, at % 2 == 0, "refused"), ack(6, at % 3 == 0, "late"))
+    return outbox_.select(*KEYS, "local_offset", F.inline(both))
+
+
+def begin_requests(spark: SparkSession, sf_dir: str, states: DataFrame) -> DataFrame:
+    """A request to begin for each of 25 transactional ids, some unknown, every fourth of an older epoch."""
+    k = F.col("n_nationkey")
+    ids = table(spark, sf_dir, "nation").select(F.concat(F.lit("txn-"), k.cast("string")).alias("txn_id"), (k % 4 == 3).cast("int").alias("behind"))
+    known = states.select("txn_id", "producer_epoch")
+    return ids.join(known, "txn_id", "left").select(
+        "txn_id", (F.coalesce("producer_epoch", F.lit(0)) - F.col("behind")).alias("producer_epoch"), F.lit(AS_OF_MS).alias("at_ms")
+    )
+
+
 def samples(log: DataFrame, percent: int) -> DataFrame:
     return log.filter(forwarded(F.col("key"), F.col("partition_offset"), F.lit(percent))).select(
         *KEYS, "partition_offset", "key"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.functions.ordering import numbered
-from logweir.functions.routing import partition_for
+from logweir.functions.ordering import SLICE, numbered
+from logweir.functions.routing import murmur2_udf, partition_for
 
 KEYS = ["topic_id", "partition_id"]
 LOG = (
@@ -14,6 +16,7 @@ LOG = (
     "value STRING, timestamp_ms BIGINT, created_at TIMESTAMP_NTZ, producer_id BIGINT, producer_epoch INT, "
     "sequence BIGINT, txn_state STRING"
 )
+COLUMNS = [c.split()[0] for c in LOG.split(", ")]
 TOPIC_NAMES = ("click", "error", "purchase", "signup", "view")
 PARTITIONS = 4
 CODECS = ("none", "gzip", "snappy", "lz4", "zstd")
@@ -59,36 +62,65 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def built_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical log over the event table, computed from it."""
+    keys = {"partition_offset": KEYS, "sequence": ["producer_id", *KEYS]}
+    return numbered(event_records(spark, sf_dir), "global_offset", keys).select(*COLUMNS)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where relations that queries share are written: the checkpoint folder, or else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+_WRITTEN: set[str] = set()
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical log over the event table."""
-    placed = numbered(event_records(spark, sf_dir), KEYS, "global_offset", "partition_offset")
-    sequenced = numbered(placed, ["producer_id", *KEYS], "global_offset", "sequence")
-    return sequenced.select(*[c.split()[0] for c in LOG.split(", ")])
+    """The canonical log over the event table, written once a session and read with pruned columns.
+
+    A table of other files is another log.
+    """
+    files = "\n".join(sorted(table(spark, sf_dir, "events").inputFiles()))
+    stamp = hashlib.md5(files.encode()).hexdigest()
+    path = f"{shared_folder(spark)}/logweir-log-{spark.sparkContext.applicationId}-{stamp}"
+    if path not in _WRITTEN:
+        write_log(built_log(spark, sf_dir), path)
+        _WRITTEN.add(path)
+    return read_log(spark, path)
 
 
 def write_log(log: DataFrame, path: str, codec: str = "zstd") -> None:
-    """Parquet by topic, sorted so that row-group statistics serve offset ranges; unknown codecs write none."""
+    """Parquet by topic, sorted so that row-group statistics serve offset ranges; unknown codecs write none.
+
+    Slices of a partition are spread, so that a large one is the work of many tasks.
+    """
     chosen = codec.lower() if codec.lower() in CODECS else "none"
     (
-        log.repartition("topic_id", "partition_id")
+        log.repartition(*KEYS, F.floor(F.col("partition_offset") / SLICE))
         .sortWithinPartitions(*KEYS, "partition_offset")
-        .write.option("compression", chosen)
+        .write.mode("overwrite")
+        .option("compression", chosen)
         .partitionBy("topic_id")
         .parquet(path)
     )
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG).parquet(path)
+    return spark.read.schema(LOG).parquet(path).select(*COLUMNS)
+
+
+#: Times in text keep their microseconds.
+JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def to_json(log: DataFrame) -> DataFrame:
     """One JSON string a record, for text sinks."""
-    return log.select(F.to_json(F.struct(*log.columns)).alias("value"))
+    return log.select(F.to_json(F.struct(*log.columns), JSON).alias("value"))
 
 
 def from_json(lines: DataFrame) -> DataFrame:
-    return lines.select(F.from_json("value", LOG).alias("r")).select("r.*")
+    return lines.select(F.from_json("value", LOG, JSON).alias("r")).select("r.*")
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, streaming: bool = False) -> DataFrame:
@@ -103,6 +135,13 @@ def kafka_sink(log: DataFrame, servers: str) -> None:
     out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").save()
 
 
+def register_views(spark: SparkSession, relations: dict[str, DataFrame]) -> None:
+    """Every relation as a temporary view of its name, and the routing hash as a SQL function."""
+    for name, df in relations.items():
+        df.createOrReplaceTempView(name)
+    spark.udf.register("murmur2", murmur2_udf())
+
+
 def with_partitions(topics_: DataFrame, log: DataFrame) -> DataFrame:
     """Topics with the number of partitions they have and of those that hold records."""
     used = log.groupBy("topic_id").agg(F.countDistinct("partition_id").alias("used_partitions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,33 +15,56 @@ from logweir.operators.producer import validate_sequence
 from logweir.sources.log import KEYS
 
 
-def stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+def stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """A Parquet folder as a stream; ``files`` a trigger bound what one micro-batch takes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def append_offsets(records: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Appends micro-batches to a log with contiguous offsets.
+def _appended(batch: DataFrame, log_path: str, batch_id: int) -> None:
+    """Writes a batch's folder, and the counters of all batches up to it, from those of the one before.
 
-    A batch is one folder, written whole; a batch that is run again rewrites its own folder
-    from the counters of the earlier ones, so offsets are assigned once.
+    Both are written whole, so a batch that is run again assigns the same offsets once.
     """
     from logweir.operators.offsets import append, counters
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            paths = [f"{log_path}/batch={i}" for i in range(batch_id)]
-            old = counters(spark.read.parquet(*paths))
-        else:
-            old = spark.createDataFrame([], "topic_id int, partition_id int, next_offset long")
-        append(batch, old).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+    spark, next_offsets = batch.sparkSession, f"{log_path}/_counters"
+    if batch_id:
+        old = spark.read.parquet(f"{next_offsets}/batch={batch_id - 1}")
+    else:
+        old = spark.createDataFrame([], "topic_id int, partition_id int, next_offset long")
+    append(batch, old).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+    written = spark.read.parquet(f"{log_path}/batch={batch_id}")
+    counters(written, old).coalesce(1).write.mode("overwrite").parquet(f"{next_offsets}/batch={batch_id}")
+
 
+def append_offsets(records: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Appends micro-batches to a log with contiguous offsets; each reads one small counters table."""
+    write = lambda batch, batch_id: _appended(batch, log_path, batch_id)
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def transformed(log: DataFrame, make: Callable[[DataFrame], DataFrame], group: str, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Consumes a log, appends what ``make`` makes of its committed records, and commits the group's offsets.
+
+    Output, its offsets and the committed offsets (at ``log_path``/_commits) of a batch are
+    written under the batch's number, so a batch that is run again takes effect once.
+    """
+    from logweir.operators.offsets import visible
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _appended(make(visible(batch, True)), log_path, batch_id)
+        done = batch.groupBy(*KEYS).agg((F.max("partition_offset") + 1).alias("committed_offset"))
+        marked = done.withColumns({"group_id": F.lit(group), "seq": F.lit(batch_id).cast("long")})
+        marked.coalesce(1).write.mode("overwrite").parquet(f"{log_path}/_commits/batch={batch_id}")
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(batches: DataFrame) -> DataFrame:
-    """outcome of every produce batch, with the last sequence of each producer and partition as state."""
+    """outcome of every produce batch, with the last sequence of each producer and partition as state.
+
+    A step sorts the batches of its key that one trigger took, which the files a trigger bound.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
@@ -62,6 +85,37 @@ def deduplicated(batches: DataFrame) -> DataFrame:
     )
 
 
+def expired_sessions(heartbeats: DataFrame) -> DataFrame:
+    """Members whose session ran out in event time: no heartbeat (at_ms) within timeout_ms, by a timer each.
+
+    The stream's watermark, one second late, is the clock. A member that heartbeats again later
+    starts a new session.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last, limit) = state.get
+            state.remove()
+            yield pd.DataFrame({"group_id": [key[0]], "member_id": [key[1]], "expired_ms": [last + limit]})
+            return
+        last, limit = state.get if state.exists else (0, 0)
+        for rows in frames:
+            at = int(rows["at_ms"].argmax())
+            if rows["at_ms"].iloc[at] >= last:
+                last, limit = int(rows["at_ms"].iloc[at]), int(rows["timeout_ms"].iloc[at])
+        state.update((last, limit))
+        state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
+
+    timed = heartbeats.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", "1 second")
+    return timed.groupBy("group_id", "member_id").applyInPandasWithState(
+        step,
+        "group_id string, member_id string, expired_ms long",
+        "last long, timeout long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def watermark_stream(log: DataFrame) -> DataFrame:
     """The running high watermark of every partition."""
     return log.groupBy(*KEYS).agg(F.max(F.col("partition_offset") + 1).alias("high_watermark"))
