@@ -3,19 +3,25 @@
 Detected entities are replaced by keyed surrogates of their type and format. A surrogate is a
 function of the secret key, the entity's type and its canonical form (digits only, or lower
 case), so every mention of an entity, however it is written, gets the same surrogate, set in
-the mention's own separators and case. Each word of a name has its own surrogate, so a surname
-agrees with the full name; telephone numbers go by their last ten digits. Distinct entities keep distinct surrogates: all
-surrogates of the corpus are checked against each other and against the originals, and those
-that collide are drawn again under the next attempt number until none is left.
-
-Types: e-mail addresses; telephone numbers (country codes stay); IPv4 addresses; payment
-cards that pass the Luhn check (so do their surrogates; other long numbers stay); social
-security numbers; names after a title (the title and with it the gender stays, initials and the
-script of the letters too); quoted secrets assigned to a name such as token or password.
+the mention's own separators and case. Given and family names have surrogates apart, so a
+surname agrees with the full name, and where a text names someone with a title, later bare
+mentions of the name are replaced as well; telephone numbers go by their last ten digits.
+
+Names are made from syllables of the name's script: given names with endings of the gender that
+the title tells (after Dr, Prof and the like, that the name's own ending suggests), family names
+with endings of their own. Distinct entities keep distinct surrogates: all surrogates of the
+corpus are checked against each other and against the originals, and those that collide are
+drawn again under the next attempt number, from a larger space, until none is left.
+
+Types: e-mail addresses; telephone numbers (country codes stay; also ten plain digits in the
+North American form); IPv4 addresses; payment cards that pass the Luhn check and IBANs that pass
+theirs (so do their surrogates; other long numbers stay); social security numbers (undashed ones
+after their name); names after a title (title and initials stay); quoted secrets assigned to a
+name such as token or password.
 
 Only DataFrame functions run. Defined cases: a null text stays null and an empty one empty;
-repeated rows get the same text; an empty table gives an empty table; other columns are kept
-by ``pseudonymise``. Columns starting with ``__`` are reserved.
+repeated rows get the same text; an empty table gives an empty table; other columns, whatever
+their names, are kept by ``pseudonymise``. Columns starting with ``__`` are reserved.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ from pyspark.sql import functions as F
 from logweir.llm.common import checkpointed, let, table
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLE = (
-    "(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señorita|Señor|Srta|Sra|Sr"
-    "|[Гг]-н|[Гг]-жа|[Гг]осподин|[Гг]оспожа|[Κκ]ύριος|[Κκ]υρία)"
-)
+#: Titles by the gender they tell.
+_MALE = "Mr|Herr|Monsieur|Señor|Sr|[Гг]-н|[Гг]осподин|[Κκ]ύριος"
+_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Srta|Sra|[Гг]-жа|[Гг]оспожа|[Κκ]υρία"
+_TITLE = f"(?:{_FEMALE}|{_MALE}|Dr|Professor|Prof)"
+#: Endings of given names that suggest a woman's, where the title doesn't tell.
+_FEMALE_ENDING = "[aeаяαη]$"
 #: A word of a name: capitalised, also inside as in O'Brien, McDonald and Anne-Marie.
 _NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]?\p{Lu}\p{Ll}+)*"
 #: What stands before a name and stays.
@@ -39,8 +47,9 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|password|passwd|pwd|(?:api|access|private)_?key)["']?\s*[=:]\s*(?:"[^"\s]{8,}"|'[^'\s]{8,}'))""",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<!\p{L})(?i:SSN|social security(?: number| no\.?)?)\s{0,2}[:#=]?\s{0,2}\d{3} ?\d{2} ?\d{4}(?!\d)",
+    "iban": r"(?<![\p{L}\p{N}])\p{Lu}{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\p{N}])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\d.,-])[2-9]\d{2}[2-9]\d{6}(?![.,-]?\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
     "name": rf"(?<!\p{{L}}){_FRAME}{_NAME}(?: {_NAME})?",
 }
@@ -49,12 +58,20 @@ ANY = "|".join(PATTERNS.values())
 HINT = rf"""@|\d[\d. ()-]{{5,}}\d|"[^"\s]{{8,}}"|'[^'\s]{{8,}}'|{_TITLE}\.? \p{{Lu}}"""
 TYPES = tuple(PATTERNS)
 DIGIT_TYPES = ("ssn", "phone", "card")
-MAX_ATTEMPTS = 32
-#: Digits of a national telephone number, at most, and letters of a name's surrogate, at least.
+#: Digits of a national telephone number, at most.
 NATIONAL = 10
-NAME_LETTERS = 5
+#: Attempts after which surrogates without syllables get one more character.
+LONGER = 8
+
+#: Parts of names by script: syllables are a consonant and a vowel; endings of women's and men's
+#: given names and of family names.
+NAMES = (
+    (r"\p{IsCyrillic}", "б в г д з к л м н п р с т бр др кр", "а е и о у", "а ина ея ия", "ан ей ий ор", "ин ич ко ов ский"),
+    (r"\p{IsGreek}", "β γ δ ζ θ κ λ μ ν π ρ σ τ βρ δρ κρ", "α ε ι ο ου", "α ινα η ια", "ας ης ος ων", "ακης ιδης ου πουλος"),
+    (r".", "b d f g h k l m n p r s t v br dr kl st tr", "a e i o u", "a elle ia ina", "an er io us", "ard berg er ini man son"),
+)
 
-#: Letters by script, lower case, from which surrogate letters are drawn.
+#: Letters by script, lower case, from which surrogate letters of secrets and addresses are drawn.
 SCRIPTS = (
     ("[a-z]", "abcdefghijklmnopqrstuvwxyz"),
     (r"\p{IsLatin}", "abcdefghijklmnopqrstuvwxyz"),
@@ -78,13 +95,27 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.filter(values, lambda v: v.isNotNull()), F.lit(0), lambda a, v: a + v)
 
 
+def _iban_check(raw: Column) -> Column:
+    """The remainder by 97 of an IBAN with its first four characters moved to the end; 1 is right."""
+    plain = F.replace(raw, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
+
+    def step(a: Column, c: Column) -> Column:
+        digit = F.rlike(c, F.lit(r"^\d$"))
+        return F.when(digit, (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def kind_of(raw: Column) -> Column:
-    """The type of a matched string; null for a long number that fails the Luhn check."""
+    """The type of a matched string; null for a long number or IBAN that fails its check."""
     out = F.lit(None).cast("string")
     for name in reversed(TYPES):
         whole = F.rlike(raw, F.lit(f"^(?:{PATTERNS[name]})$"))
         if name == "card":
             whole = whole & (_luhn_sum(_digits(raw), 1) % 10 == 0)
+        if name == "iban":
+            whole = whole & (_iban_check(raw) == 1)
         out = F.when(whole, F.lit(name)).otherwise(out)
     return out
 
@@ -96,13 +127,20 @@ def canonical(kind: Column, raw: Column) -> Column:
         .when(kind.isin(*DIGIT_TYPES), _digits(raw))
         .when(kind == "secret", F.regexp_extract(raw, """^[^=:]*[=:]\\s*["'](.*).$""", 1))
         .when(kind == "name", F.regexp_extract(raw, rf"^{_FRAME}(.*)$", 1))
+        .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
         .otherwise(F.lower(raw))
     )
 
 
-def units(kind: Column, canon: Column) -> Column:
-    """The parts of an entity that have surrogates of their own: each word of a name, else the whole."""
-    return F.when(kind == "name", F.split(canon, " ")).otherwise(F.array(canon))
+def units(kind: Column, raw: Column, canon: Column) -> Column:
+    """(kind, canon) of the parts of an entity that have surrogates of their own: each word of a name, else the whole."""
+    part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    title = lambda names: F.rlike(raw, F.lit(rf"^(?:{names})\b\.? "))
+    suggested = F.rlike(F.element_at(F.split(canon, " "), 1), F.lit(_FEMALE_ENDING))
+    female = title(_FEMALE) | (~title(_MALE) & suggested)
+    given = F.when(female, F.lit("given_f")).otherwise(F.lit("given_m"))
+    of_name = F.transform(F.split(canon, " "), lambda w, i: part(F.when(i < F.size(F.split(canon, " ")) - 1, given).otherwise(F.lit("family")), w))
+    return F.when(kind == "name", of_name).otherwise(F.array(part(kind, canon)))
 
 
 def entities(text: Column) -> Column:
@@ -122,11 +160,21 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     def made(s: Column) -> Column:
         value = lambda i: F.conv(F.substring(s, 1, 128).substr(2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
         digit = lambda i: (value(i) % 10).cast("string")
-        # Short names are few, so their surrogates are longer.
-        more = F.greatest(F.lit(NAME_LETTERS) - F.length(canon), F.lit(0))
-        drawn_as = F.when(kind == "name", F.concat(canon, F.repeat(F.right(canon, F.lit(1)), more))).otherwise(canon)
+        of = lambda i, parts: F.get(F.array(*[F.lit(x) for x in parts.split()]), value(i) % len(parts.split()))
+        # Where a space turns out short, further attempts draw from longer forms.
+        drawn_as = F.concat(canon, F.repeat(F.right(canon, F.lit(1)), F.floor(attempt / LONGER).cast("int")))
         chars = F.filter(F.split(drawn_as, ""), lambda c: c != "")
 
+        def name(consonants: str, vowels: str, *endings: str) -> Column:
+            syllables = F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: F.concat(of(3 * i, consonants), of(3 * i + 1, vowels)))
+            ends = [of(F.lit(2), e) for e in endings]
+            end = F.when(kind == "given_f", ends[0]).when(kind == "given_m", ends[1]).otherwise(ends[2])
+            return F.initcap(F.concat(F.array_join(syllables, ""), of(F.lit(0), consonants), end))
+
+        named = F.lit(None).cast("string")
+        for pattern, *parts in reversed(NAMES):
+            named = F.when(F.rlike(canon, F.lit(f"^{pattern}")), name(*parts)).otherwise(named)
+
         def letter(c: Column, i: Column) -> Column:
             out = c
             for pattern, alphabet in reversed(SCRIPTS):
@@ -149,6 +197,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         numbers = F.array_join(F.transform(chars, lambda c, i: digit(i)), "")
         body = F.concat(F.lit("4"), F.substr(numbers, F.lit(2), F.length(canon) - 2))
         card = F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
+        account, country = F.substr(shaped, F.lit(5)), F.substr(canon, F.lit(1), F.lit(2))
+        check = F.lpad((98 - _iban_check(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
         ip = F.concat_ws(".", *[(value(F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
         local = F.substring_index(shaped, "@", 1)
         email = F.concat(local, F.lit("@mail-"), F.substring(F.reverse(s), 1, 12), F.lit(".example.org"))
@@ -156,7 +206,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
             F.when(kind == "email", email)
             .when(kind == "ip", ip)
             .when(kind == "card", card)
+            .when(kind == "iban", F.concat(country, check, account))
             .when(kind.isin("phone", "ssn"), numbers)
+            .when(kind.isin("family", "given_f", "given_m"), named)
             .when((kind == "secret") & F.rlike(canon, F.lit("^[0-9a-fA-F]+$")), hexed)
             .otherwise(shaped)
         )
@@ -167,19 +219,24 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 def written(kind: Column, raw: Column, sur: Column) -> Column:
     """A surrogate in the separators, case and frame of the mention it replaces."""
     # A country code of a number that is longer than ten digits stays.
-    code = F.greatest(F.length(_digits(raw)) - F.length(sur), F.lit(0))
+    code = F.when(kind == "phone", F.greatest(F.length(_digits(raw)) - NATIONAL, F.lit(0))).otherwise(F.lit(0))
     digits = F.concat(F.substr(_digits(raw), F.lit(1), code), sur)
-    filled = lambda digits: F.aggregate(
-        F.split(raw, ""),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, c: F.when(
-            F.rlike(c, F.lit(r"^\d$")),
-            F.struct(F.concat(a["out"], F.substr(digits, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
-        ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-        lambda a: a["out"],
-    )
+
+    def filled(own: Column, slot: str) -> Column:
+        """The characters of the mention with those of ``own`` in its slots, and what is longer after them."""
+        put = F.aggregate(
+            F.split(raw, ""),
+            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda a, c: F.when(
+                F.rlike(c, F.lit(slot)),
+                F.struct(F.concat(a["out"], F.substr(own, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at")),
+            ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+        )
+        return let(put, lambda p: F.concat(p["out"], F.substr(own, p["at"])))
+
     return (
-        F.when(kind.isin(*DIGIT_TYPES), let(digits, filled))
+        F.when(kind.isin(*DIGIT_TYPES), let(digits, lambda d: filled(d, r"^\d$")))
+        .when(kind == "iban", filled(sur, "^[^ ]$"))
         .when(kind == "secret", F.concat(F.regexp_extract(raw, """^([^=:]*[=:]\\s*["'])""", 1), sur, F.right(raw, F.lit(1))))
         .when(kind == "name", F.concat(F.regexp_extract(raw, rf"^({_FRAME})", 1), sur))
         .when((kind == "email") & (F.upper(raw) == raw), F.upper(sur))
@@ -189,32 +246,33 @@ def written(kind: Column, raw: Column, sur: Column) -> Column:
 
 def _units_of(text: Column) -> Column:
     """Array of (kind, canon) of the units of a text's entities."""
-    of = lambda e: F.transform(units(e["kind"], e["canon"]), lambda c: F.struct(e["kind"].alias("kind"), c.alias("canon")))
-    return F.flatten(F.transform(entities(text), of))
+    return F.flatten(F.transform(entities(text), lambda e: units(e["kind"], e["raw"], e["canon"])))
 
 
 def attempts(docs: DataFrame, key: str) -> DataFrame:
-    """kind, canon, attempt of the units whose first surrogate collides with another's or with an original."""
+    """kind, canon, attempt of the units whose first surrogate collides with another's or with an original.
+
+    Only what collides is drawn again, and compared with all that is settled.
+    """
     found = docs.filter(F.rlike("text", F.lit(HINT))).select(F.explode(F.array_distinct(_units_of(F.col("text")))).alias("e"))
     known = checkpointed(found.select("e.*").filter("kind IS NOT NULL").distinct())
-    state = known.withColumn("attempt", F.lit(0))
-    for _ in range(MAX_ATTEMPTS):
-        drawn = checkpointed(state.withColumn("sur", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))))
-        first = drawn.groupBy("kind", F.lower("sur").alias("s")).agg(F.min("canon").alias("c"), F.count(F.lit(1)).alias("n"))
-        twice = first.filter("n > 1").select("kind", "s", "c")
-        taken = known.select("kind", F.lower("canon").alias("s"), F.lit(None).cast("string").alias("c"))
-        clash = twice.unionByName(taken)
-        again = drawn.join(
-            clash.withColumnRenamed("kind", "k"),
-            (F.col("kind") == F.col("k")) & (F.lower("sur") == F.col("s")) & ~F.col("canon").eqNullSafe(F.col("c")),
-            "left_semi",
+    # All words of names share one space.
+    space = F.when(F.col("kind").isin("family", "given_f", "given_m"), "name").otherwise(F.col("kind")).alias("space")
+    originals = known.select(space, F.lower("canon").alias("s")).distinct()
+    settled, open_ = None, known.withColumn("attempt", F.lit(0))
+    while True:
+        drawn = checkpointed(
+            open_.withColumn("sur", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+            .select("kind", "canon", "attempt", space, F.lower("sur").alias("s"))
         )
-        bad = checkpointed(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        first = drawn.groupBy("space", "s").agg(F.min(F.struct("kind", "canon")).alias("first"))
+        taken = originals if settled is None else originals.unionByName(settled.select("space", "s"))
+        fine = drawn.join(taken, ["space", "s"], "left_anti").join(first, ["space", "s"]).filter(F.struct("kind", "canon") == F.col("first")).drop("first")
+        bad = checkpointed(drawn.join(fine.select("kind", "canon"), ["kind", "canon"], "left_anti"))
+        settled = checkpointed(fine if settled is None else settled.unionByName(fine))
         if bad.isEmpty():
-            return drawn.filter("attempt > 0").select("kind", "canon", "attempt")
-        fine = drawn.select("kind", "canon", "attempt").join(bad, ["kind", "canon"], "left_anti")
-        state = checkpointed(fine.unionByName(bad))
-    raise RuntimeError("the surrogate space is too small for this corpus")
+            return settled.filter("attempt > 0").select("kind", "canon", "attempt")
+        open_ = bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -235,21 +293,32 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     def replaced(text: Column) -> Column:
         gaps = F.split(text, ANY, -1)
+        tries = lambda u: F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws(":", u["kind"], u["canon"])), F.lit(0))
 
         def one(e: Column) -> Column:
-            tries = lambda c: F.coalesce(F.try_element_at(F.col("__map"), F.concat_ws(":", e["kind"], c)), F.lit(0))
-            part = lambda c: surrogate(key, e["kind"], c, tries(c))
-            sur = F.array_join(F.transform(units(e["kind"], e["canon"]), part), " ")
-            return F.when(e["kind"].isNull(), e["raw"]).otherwise(let(sur, lambda s: written(e["kind"], e["raw"], s)))
+            """A found string, its type, what replaces it and, of names, the (word, surrogate) pairs."""
+            made = F.transform(units(e["kind"], e["raw"], e["canon"]), lambda u: F.struct(u["canon"].alias("word"), surrogate(key, u["kind"], u["canon"], tries(u)).alias("sur")))
+
+            def told(pairs: Column) -> Column:
+                whole = F.array_join(F.transform(pairs, lambda p: p["sur"]), " ")
+                out = F.when(e["kind"].isNull(), e["raw"]).otherwise(let(whole, lambda s: written(e["kind"], e["raw"], s)))
+                names = F.when(e["kind"] == "name", pairs).otherwise(F.array().cast("array<struct<word:string,sur:string>>"))
+                return F.struct(e["kind"].alias("kind"), out.alias("out"), names.alias("names"))
+
+            return let(made, told)
 
         def joined(found: Column) -> Column:
-            pieces = F.zip_with(gaps, F.transform(found, one), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+            names = F.array_distinct(F.flatten(F.transform(found, lambda f: f["names"])))
+            # A name's words hold letters, hyphens and apostrophes only.
+            bare = lambda g: F.aggregate(names, g, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])"), n["word"], F.lit(r"(?![\p{L}-])")), n["sur"]))
+            rest = F.when(F.size(names) == 0, gaps).otherwise(F.transform(gaps, bare))
+            pieces = F.zip_with(rest, F.transform(found, lambda f: f["out"]), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
             return F.struct(
                 F.array_join(pieces, "").alias("text"),
-                F.array_compact(F.transform(found, lambda e: e["kind"])).alias("kinds"),
+                F.array_compact(F.transform(found, lambda f: f["kind"])).alias("kinds"),
             )
 
-        return let(entities(text), joined)
+        return let(F.transform(entities(text), one), joined)
 
     none = F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("kinds"))
     may = F.coalesce(F.rlike("text", F.lit(HINT)), F.lit(False))
