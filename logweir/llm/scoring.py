@@ -1,25 +1,26 @@
 """Operator 6: language-model scores by masked pseudo-likelihood.
 
-A document's score is the sum, over its words, of the log-probability of the word given its
-neighbours on both sides. The probability is that of the word's class, which a bidirectional
-window network trained in numpy predicts from the classes to the left and right, times the
-word's share of its class.
-
-What the model learns comes from every document. Words are counted over the whole corpus; the
-most frequent ones form the vocabulary. The first of them have classes of their own and the
-others share classes by their endings; words outside the vocabulary are one class, whose
-types are taken as equally likely. Then every (left, word, right) triple of classes is
-counted over the corpus, at most ``CLASSES**3`` sums however large it is, and the network is
-trained on the sums: they are dealt to tasks by context, every task takes some Adam steps from
-the same parameters, and the results are averaged, each embedding by the counts behind it.
-As contexts are finite, the trained network is tabulated once over all of them and scoring a
-word is one look-up.
+A document's score is the sum, over its words, of the log-probability of the word given the two
+words on each side of it. A bidirectional window network, trained in numpy, sees the words
+around the masked one and predicts, by a two-level softmax of ``GROUPS`` times ``GROUPS``, its
+leaf; the most frequent words have leaves of their own, every other word shares one with the
+words of its ending. Of a shared leaf a word has the share of its count in all other
+documents, smoothed: what a document says alone doesn't make it likely.
+
+All of this comes from every document and grows with the corpus. The words are counted over the
+whole corpus, in a table without a limit. The ``KNOWN`` most frequent ones, at most, are sent
+to the tasks with their counts; the words outside are joined with the table by hash. The
+network has a fixed size, but learns from every word of every document, once: in each of
+``ROUNDS`` every task takes steps over its own words of a part of the documents, all from the
+same parameters, and the results are averaged in two levels, embeddings by the counts behind
+them. It starts as the model that knows the leaves' frequencies only.
 
 Defined cases: words are runs without ASCII white space, in lower case; a null, empty or blank
-text has no words, the score 0 and no mean; the ends of a text are a class of their own, which
-is a context and never predicted; repeated rows count, and score, each for itself; an empty
-table gives an empty table; other columns are ignored. Scores are the same for every run over
-the same rows, up to floating-point order in training.
+text has no words, the score 0 and no mean; the ends of a text are a mark of their own, which is
+seen and never predicted; repeated rows count, and score, each for itself, so each knows the
+words of the others; an empty table gives an empty table; other columns are ignored, whatever
+their names. Scores are the same for every run over the same rows and partitions, up to
+floating-point order.
 """
 
 from __future__ import annotations
@@ -30,28 +31,33 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm.common import checkpointed, table
 
-#: Words that the model knows at most; the rest are one class. Bounds what is sent to tasks.
-VOCABULARY = 65_536
-#: Classes, with the end mark and the unknown class; bounds the contexts and the table.
-CLASSES = 192
-END, UNKNOWN, FIRST = 0, 1, 2
-#: The most frequent words, which have classes of their own.
-OWN = 94
+#: Words that are sent to the tasks with their counts, at most; the others are joined.
+KNOWN = 65_536
+#: Groups of the softmax and leaves in a group; the first half of the groups has a word a leaf.
+GROUPS = 64
+LEAVES = GROUPS * GROUPS
+OWN = LEAVES // 2
+#: What is seen beyond the ends of a text.
+END = LEAVES
+SIDES = (-2, -1, 1, 2)
 HIDDEN = 32
-ROUNDS = 4
-STEPS = 20
-RATE = 0.05
-TRAIN_TASKS = 16
-#: Distinct words, and triples, that a task holds before it hands them on.
+BATCH = 2048
+ROUNDS = 3
+RATE = 0.1
+#: Count of a word that no other document has.
+UNSEEN = 0.5
+#: Results that meet on the driver in a round.
+MEETING = 16
+#: Distinct words that a task holds before it hands them on.
 HELD_WORDS = 500_000
-HELD_TRIPLES = 4_000_000
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -81,226 +87,342 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _lowered(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def shared_leaf(word: bytes) -> int:
+    """The leaf of a word without one of its own: the group by its last two letters, the leaf by its last three."""
+    return OWN + zlib.crc32(word[-2:]) % (GROUPS // 2) * GROUPS + zlib.crc32(word[-3:]) % GROUPS
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Word to index; the class of each index and the log of its share of the class."""
+    """Leaf and count of the known words; tokens and types of every leaf over the whole corpus."""
 
-    index: dict[bytes, int]
-    classes: np.ndarray
-    shares: np.ndarray
+    known: dict[bytes, tuple[int, int]]
+    tokens: np.ndarray
+    types: np.ndarray
 
     @classmethod
-    def of(cls, words: list[tuple[bytes, int]], unknown_types: int) -> Vocabulary:
-        """``words`` by falling count. Index 0 is the end mark and 1 an unknown word."""
-        named = np.empty(len(words) + FIRST, np.int64)
-        counts = np.ones(len(words) + FIRST)
-        named[:FIRST] = END, UNKNOWN
-        shared = CLASSES - FIRST - OWN
-        for i, (word, n) in enumerate(words):
-            named[i + FIRST] = FIRST + (i if i < OWN else OWN + zlib.crc32(word[-3:]) % shared)
-            counts[i + FIRST] = n
-        shares = np.log(counts / np.bincount(named, counts, CLASSES)[named])
-        shares[UNKNOWN] = -np.log(max(1, unknown_types))
-        return cls({w: i + FIRST for i, (w, _) in enumerate(words)}, named, shares)
+    def of(cls, words: list[tuple[bytes, int]], tokens: np.ndarray, types: np.ndarray) -> Vocabulary:
+        """``words`` by falling count; the arrays count the other words by leaf."""
+        tokens, types, known = tokens.astype(np.float64), types.astype(np.float64), {}
+        # Words with leaves of their own lie by their endings, so that those of a group are alike.
+        own = {w: i for i, w in enumerate(sorted((w for w, _ in words[:OWN]), key=lambda w: w[::-1]))}
+        for word, n in words:
+            leaf = own.get(word, -1)
+            leaf = shared_leaf(word) if leaf < 0 else leaf
+            known[word] = (leaf, n)
+            tokens[leaf] += n
+            types[leaf] += 1
+        return cls(known, tokens, types)
 
     @classmethod
-    def fitted(cls, docs: DataFrame, most: int = VOCABULARY) -> Vocabulary:
-        """The words at or above the lowest count step (of an eighth of an octave) that fits."""
-        counts = checkpointed(word_counts(docs))
+    def fitted(cls, counts: DataFrame, most: int = KNOWN) -> Vocabulary:
+        """The words at or above the lowest count step (of an eighth of an octave) that fits, and sums over the rest."""
         step = F.floor(F.log2("n") * 8).cast("int")
         steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-        types, kept, low = sum(r["count"] for r in steps), 0, None
+        kept, low = 0, None
         for r in steps:
             if kept + r["count"] > most:
                 break
             kept, low = kept + r["count"], r["step"]
         found = [] if low is None else counts.filter(step >= low).collect()
         words = sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
-        return cls.of(words, types - kept)
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The indices of all words, with an end mark before, between and after texts; words per text."""
-        get, ids, sizes = self.index.get, [END], []
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, types = np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64)
+            for batch in batches:
+                at = np.fromiter((shared_leaf(w.as_py()) for w in batch.column(0)), np.int64, batch.num_rows)
+                np.add.at(tokens, at, batch.column(1).to_numpy())
+                np.add.at(types, at, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEAVES)), pa.array(tokens), pa.array(types)], names=["leaf", "tokens", "types"])
+
+        rest = counts if low is None else counts.filter(step < low)
+        sums = rest.mapInArrow(leaves, "leaf long, tokens long, types long").groupBy("leaf").agg(F.sum("tokens"), F.sum("types"))
+        tokens, types = np.zeros(LEAVES), np.zeros(LEAVES)
+        for leaf, n, m in sums.collect():
+            tokens[leaf], types[leaf] = n, m
+        return cls.of(words, tokens, types)
+
+    def leaves(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Leaves of all words with two end marks before, between and after texts; words per text; the words."""
+        get, ids, sizes, words = self.known.get, [END, END], [], []
         for text in texts:
-            own = [get(w, UNKNOWN) for w in _tokens(text.as_py())]
-            ids += own
-            ids.append(END)
+            own = _tokens(text.as_py())
+            for w in own:
+                found = get(w)
+                ids.append(shared_leaf(w) if found is None else found[0])
+            ids += [END, END]
             sizes.append(len(own))
-        return np.array(ids, np.int64), np.array(sizes, np.int64)
+            words.append(own)
+        return np.array(ids, np.int64), np.array(sizes, np.int64), words
 
 
-def triples(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """context (left * CLASSES + right), target and n: sums over all words of all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves around (words, sides) and leaf of every word between end marks."""
+    at = np.flatnonzero(ids != END)
+    return ids[at[:, None] + np.array(SIDES)], ids[at]
 
-        def flushed() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys // CLASSES, pa.int32()), pa.array(keys % CLASSES, pa.int32()), pa.array(n, pa.int64())],
-                names=["context", "target", "n"],
-            )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, _ = sent.value.ids(batch.column(0).slice(at, 256))
-                c = sent.value.classes[ids]
-                keys = (c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1]
-                held.append(keys[c[1:-1] != END])
-                if sum(map(len, held)) > HELD_TRIPLES:
-                    yield flushed()
-        yield flushed()
-
-    made = _lowered(docs).mapInArrow(run, "context int, target int, n long")
-    return made.groupBy("context", "target").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
 class Network:
-    """softmax(tanh(left[l] + right[r] + hidden_bias) @ out + bias): one class from its two sides."""
+    """Two-level softmax over tanh(sum of side embeddings): group, then leaf within the group."""
 
-    left: np.ndarray
-    right: np.ndarray
-    hidden_bias: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        self.embed, self.bias, self.out, self.out_bias, self.leaf, self.leaf_bias = parts
 
     @classmethod
-    def started(cls, seed: int = 0) -> Network:
+    def started(cls, tokens: np.ndarray, seed: int = 0) -> Network:
+        """A network that predicts the leaves' frequencies, whatever it sees."""
         rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, 0.1, shape)
-        return cls(small(CLASSES, HIDDEN), small(CLASSES, HIDDEN), np.zeros(HIDDEN), small(HIDDEN, CLASSES), np.zeros(CLASSES))
+        small = lambda *shape: rng.normal(0, 0.05, shape).astype(np.float32)
+        share = np.log((tokens + 0.1).reshape(GROUPS, GROUPS))
+        group = np.log((tokens + 0.1).reshape(GROUPS, GROUPS).sum(axis=1))
+        zero = np.zeros((HIDDEN, GROUPS), np.float32)
+        return cls([
+            small(len(SIDES), LEAVES + 1, HIDDEN), np.zeros(HIDDEN, np.float32), zero, (group - group.max()).astype(np.float32),
+            np.zeros((GROUPS, HIDDEN, GROUPS), np.float32), (share - share.max(axis=1, keepdims=True)).astype(np.float32),
+        ])
+
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        return np.tanh(sum(self.embed[p][around[:, p]] for p in range(len(SIDES))) + self.bias)
+
+    @staticmethod
+    def _log_softmax(logits: np.ndarray) -> np.ndarray:
+        logits = logits - logits.max(axis=1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    def log_probabilities(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each leaf, given the leaves around it."""
+        hidden = self.hidden(around)
+        group, inside = leaf // GROUPS, leaf % GROUPS
+        out = self._log_softmax(hidden @ self.out + self.out_bias)[np.arange(len(leaf)), group].astype(np.float64)
+        for g, at in _by_group(group):
+            out[at] += self._log_softmax(hidden[at] @ self.leaf[g] + self.leaf_bias[g])[np.arange(len(at)), inside[at]]
+        return out
+
+    def gradient(self, around: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of the mean negative log-likelihood: by the hidden input of each word, and by the parts after the embeddings."""
+        n, hidden = np.float32(len(leaf)), self.hidden(around)
+        group, inside = leaf // GROUPS, leaf % GROUPS
+        wrong = np.exp(self._log_softmax(hidden @ self.out + self.out_bias))
+        wrong[np.arange(len(leaf)), group] -= 1
+        wrong /= n
+        back = wrong @ self.out.T
+        by_leaf, by_leaf_bias = np.zeros_like(self.leaf), np.zeros_like(self.leaf_bias)
+        for g, at in _by_group(group):
+            own = np.exp(self._log_softmax(hidden[at] @ self.leaf[g] + self.leaf_bias[g]))
+            own[np.arange(len(at)), inside[at]] -= 1
+            own /= n
+            back[at] += own @ self.leaf[g].T
+            by_leaf[g], by_leaf_bias[g] = hidden[at].T @ own, own.sum(axis=0)
+        back *= 1 - hidden**2
+        return back, [back.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0), by_leaf, by_leaf_bias]
+
+
+def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    names, starts = np.unique(group[order], return_index=True)
+    return zip(names.tolist(), np.split(order, starts[1:]))
+
+
+class Trainer:
+    """Steps of a network by Adagrad, over batches of words as they come."""
+
+    def __init__(self, network: Network, rate: float):
+        self.network = Network([p.copy() for p in network.parts])
+        self.rate, self.squares = np.float32(rate), [np.full_like(p, 1e-8) for p in network.parts]
+        self.seen, self.predicted = np.zeros(LEAVES + 1), np.zeros(LEAVES)
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def learn(self, around: np.ndarray, leaf: np.ndarray) -> None:
+        self.rest.append((around, leaf))
+        self.held += len(leaf)
+        if self.held >= BATCH:
+            self._steps(False)
+
+    def finish(self) -> Network:
+        self._steps(True)
+        return self.network
+
+    def _steps(self, last: bool) -> None:
+        if not self.held:
+            return
+        around, leaf = (np.concatenate(c) for c in zip(*self.rest))
+        whole = len(leaf) if last else len(leaf) // BATCH * BATCH
+        for at in range(0, whole, BATCH):
+            self._step(around[at : at + BATCH], leaf[at : at + BATCH])
+        self.rest, self.held = [(around[whole:], leaf[whole:])], len(leaf) - whole
+
+    def _step(self, around: np.ndarray, leaf: np.ndarray) -> None:
+        parts, squares = self.network.parts, self.squares
+        back, grads = self.network.gradient(around, leaf)
+        for p in range(len(SIDES)):
+            order = np.argsort(around[:, p], kind="stable")
+            rows, starts = np.unique(around[order, p], return_index=True)
+            g = np.add.reduceat(back[order], starts, axis=0)
+            squares[0][p][rows] += g * g
+            parts[0][p][rows] -= self.rate * g / np.sqrt(squares[0][p][rows])
+        for part, square, g in zip(parts[1:], squares[1:], grads):
+            square += g * g
+            part -= self.rate * g / np.sqrt(square)
+        self.seen += np.bincount(around[:, 1], minlength=LEAVES + 1)
+        self.predicted += np.bincount(leaf, minlength=LEAVES)
+
+
+def _weights(seen: np.ndarray, predicted: np.ndarray) -> list[np.ndarray]:
+    """The counts behind each part, shaped to multiply it."""
+    n, groups = predicted.sum(), predicted.reshape(GROUPS, GROUPS).sum(axis=1)
+    return [seen[None, :, None], n, n, n, groups[:, None, None], groups[:, None]]
+
+
+class Average:
+    """Sums of networks, each part by the counts behind it."""
+
+    def __init__(self, like: list[np.ndarray]):
+        self.sums = [np.zeros(p.shape) for p in like]
+        self.seen, self.predicted = np.zeros(LEAVES + 1), np.zeros(LEAVES)
 
     @property
-    def parts(self) -> list[np.ndarray]:
-        return [self.left, self.right, self.hidden_bias, self.out, self.bias]
-
-    def log_probabilities(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """(contexts, CLASSES); the end mark is never predicted."""
-        logits = np.tanh(self.left[left] + self.right[right] + self.hidden_bias) @ self.out + self.bias
-        logits[:, END] = -np.inf
-        top = logits.max(axis=1, keepdims=True)
-        return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-
-    def gradient(self, left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative log-likelihood of ``counts`` (contexts, CLASSES)."""
-        hidden = np.tanh(self.left[left] + self.right[right] + self.hidden_bias)
-        n = counts.sum(axis=1, keepdims=True)
-        wrong = (np.exp(self.log_probabilities(left, right)) * n - counts) / n.sum()
-        back = (wrong @ self.out.T) * (1 - hidden**2)
-        by_left, by_right = np.zeros_like(self.left), np.zeros_like(self.right)
-        np.add.at(by_left, left, back)
-        np.add.at(by_right, right, back)
-        return [by_left, by_right, back.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0)]
-
-    def trained(self, left: np.ndarray, right: np.ndarray, counts: np.ndarray, steps: int, rate: float) -> Network:
-        parts = [p.copy() for p in self.parts]
-        first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-        for t in range(1, steps + 1):
-            for p, m, v, g in zip(parts, first, second, Network(*parts).gradient(left, right, counts)):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        return Network(*parts)
-
-    def table(self) -> np.ndarray:
-        """float32 log-probabilities by ((left * CLASSES) + right, class)."""
-        left, right = np.divmod(np.arange(CLASSES**2), CLASSES)
-        cuts = np.array_split(np.arange(CLASSES**2), 16)
-        return np.concatenate([self.log_probabilities(left[c], right[c]).astype(np.float32) for c in cuts])
-
-
-def shards(counted: DataFrame) -> DataFrame:
-    """One row a task: its contexts (int32) and their dense target counts (float32) as bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if rows:
-            own = pd.concat(rows)
-            contexts, at = np.unique(own["context"].to_numpy(), return_inverse=True)
-            counts = np.zeros((len(contexts), CLASSES), np.float32)
-            counts[at, own["target"].to_numpy()] = own["n"].to_numpy()
-            yield pd.DataFrame({"contexts": [contexts.astype("<i4").tobytes()], "counts": [counts.tobytes()]})
-
-    return checkpointed(counted.repartition(TRAIN_TASKS, "context").mapInPandas(run, "contexts binary, counts binary"))
-
-
-def _packed(arrays: list[np.ndarray]) -> bytes:
-    return np.concatenate([a.ravel() for a in arrays]).astype("<f8").tobytes()
-
-
-def _unpacked(data: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
-    flat, at, out = np.frombuffer(data, "<f8"), 0, []
-    for a in like:
-        out.append(flat[at : at + a.size].reshape(a.shape))
-        at += a.size
-    return out
-
-
-def train(counted: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, rate: float = RATE) -> Network:
-    """The network after ``rounds`` of local steps and averaging; it has a fixed size."""
-    parts_of, network = shards(counted), Network.started()
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.sums, self.seen, self.predicted]
+
+    def add(self, network: Network, seen: np.ndarray, predicted: np.ndarray) -> None:
+        for s, p, w in zip(self.sums, network.parts, _weights(seen, predicted)):
+            s += p * w
+        self.seen += seen
+        self.predicted += predicted
+
+    def merge(self, data: bytes) -> None:
+        flat, at = np.frombuffer(data, "<f4"), 0
+        for a in self.arrays:
+            a += flat[at : at + a.size].reshape(a.shape)
+            at += a.size
+
+    def write(self) -> bytes:
+        return np.concatenate([a.ravel() for a in self.arrays]).astype("<f4").tobytes()
+
+    def network(self, before: Network) -> Network:
+        mixed = zip(self.sums, before.parts, _weights(self.seen, self.predicted))
+        return Network([np.where(w > 0, s / np.maximum(w, 1e-9), p).astype(np.float32) for s, p, w in mixed])
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """The network after every document was seen once; it has a fixed size."""
+    network, context = Network.started(vocabulary.tokens), docs.sparkSession.sparkContext
+    part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds))
     for k in range(rounds):
-        sent = counted.sparkSession.sparkContext.broadcast((network, rate * 0.6**k))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, step = sent.value  # noqa: B023
-            for rows in batches:
-                for contexts, counts in zip(rows["contexts"], rows["counts"]):
-                    left, right = np.divmod(np.frombuffer(contexts, "<i4").astype(np.int64), CLASSES)
-                    n = np.frombuffer(counts, np.float32).reshape(-1, CLASSES).astype(np.float64)
-                    made, own = now.trained(left, right, n, steps, step), n.sum(axis=1)
-                    weights = [np.bincount(x, own, CLASSES) for x in (left, right)]
-                    yield pd.DataFrame({"made": [_packed([*made.parts, *weights])]})
-
-        found = parts_of.mapInPandas(run, "made binary").collect()
-        like = [*network.parts, np.zeros(CLASSES), np.zeros(CLASSES)]
-        sums, by_left, by_right, total = [np.zeros_like(p) for p in network.parts], np.zeros(CLASSES), np.zeros(CLASSES), 0.0
-        for made in sorted(bytes(r["made"]) for r in found):
-            *own, left, right = _unpacked(made, like)
-            weights = [left[:, None], right[:, None], left.sum(), left.sum(), left.sum()]
-            for s, p, w in zip(sums, own, weights):
-                s += p * w
-            by_left, by_right, total = by_left + left, by_right + right, total + left.sum()
-        if total:
-            over = [by_left[:, None], by_right[:, None], total, total, total]
-            network = Network(
-                *[np.where(w > 0, s / np.maximum(w, 1e-300), p) for s, p, w in zip(sums, network.parts, over)]
-            )
+        sent = context.broadcast((vocabulary, network, rate * 0.7**k))
+
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, now, step = sent.value  # noqa: B023
+            trainer = Trainer(now, step)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    trainer.learn(*windows(known.leaves(batch.column(0).slice(at, 256))[0]))
+            made = Average(now.parts)
+            made.add(trainer.finish(), trainer.seen, trainer.predicted)
+            if made.predicted.any():
+                yield _row(TaskContext.get().partitionId() % MEETING, made.write())
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made, some = Average(sent.value[1].parts), False  # noqa: B023
+            for batch in batches:
+                for data in batch.column(1):
+                    made.merge(data.as_py())
+                    some = True
+            if some:
+                yield _row(0, made.write())
+
+        own = _lowered(docs.filter(part == k)).mapInArrow(steps, "at int, made binary")
+        total = Average(network.parts)
+        for r in sorted(bytes(r["made"]) for r in own.repartition(MEETING, "at").mapInArrow(meet, "at int, made binary").collect()):
+            total.merge(r)
+        network = total.network(network)
+        sent.unpersist()
     return network
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
-    """doc_id, n_words, log_likelihood and mean_log_likelihood of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network.table()))
+def _row(at: int, made: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([made], pa.binary())], names=["at", "made"])
+
+
+def word_hash(word: bytes) -> int:
+    """Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def log_share(n: np.ndarray, own: np.ndarray, tokens: np.ndarray, own_tokens: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Log of a word's share of its leaf over all other documents."""
+    return np.log(n - own + UNSEEN) - np.log(tokens - own_tokens + UNSEEN * (types + 1))
+
+
+def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+    """doc_id, n_words, log_likelihood and mean_log_likelihood of every row.
+
+    A task gives each row its sum over what it knows, and each word outside with its numbers in
+    the document; those meet the table of all counts by the word's hash.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, network))
+    names = ["row", "doc_id", "h", "own", "tokens", "n_words", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = sent.value
+        words, net = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, sizes = known.ids(part.column(1))
-                c = known.classes[ids]
-                # The value at an end mark is zero, so sums between marks are sums over words.
-                own = np.append(logs[c[:-2] * CLASSES + c[2:], c[1:-1]] + known.shares[ids[1:-1]], 0.0)
-                own[c[1:] == END] = 0.0
-                total = np.add.reduceat(own, np.cumsum(sizes + 1) - sizes - 1)
-                mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(total), mean],
-                    names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
-                )
-
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows = part.column(0).to_numpy()
+                ids, sizes, texts = words.leaves(part.column(2))
+                logs = net.log_probabilities(*windows(ids)) if sizes.sum() else np.zeros(0)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                total = np.bincount(of, logs, len(sizes))
+                out: list[tuple] = []
+                shared = []
+                for i, own in enumerate(texts):
+                    tf = Counter(own)
+                    leaf_tf: Counter[int] = Counter()
+                    mine = []
+                    for w, n in tf.items():
+                        leaf, count = words.known.get(w, (-1, -1))
+                        leaf = shared_leaf(w) if leaf < 0 else leaf
+                        if leaf >= OWN:
+                            leaf_tf[leaf] += n
+                            mine.append((w, n, leaf, count))
+                    for w, n, leaf, count in mine:
+                        if count >= 0:
+                            shared.append((i, n, count, leaf, leaf_tf[leaf]))
+                        else:
+                            denominator = words.tokens[leaf] - leaf_tf[leaf] + UNSEEN * (words.types[leaf] + 1)
+                            out.append((rows[i], word_hash(w), n, denominator, 0, 0.0))
+                if shared:
+                    i, n, count, leaf, own_tokens = np.array(shared, np.int64).T
+                    found = n * log_share(count, n, words.tokens[leaf], own_tokens, words.types[leaf])
+                    total += np.bincount(i, found, len(sizes))
+                # A row for what is known; its own number keeps such rows apart in the join.
+                n = len(out)
+                out += zip(rows, rows, [0] * len(rows), [1.0] * len(rows), sizes, total)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+                row, *rest = (pa.array(c, k) for c, k in zip(zip(*out), kinds))
+                doc = pa.concat_arrays([pa.nulls(n, part.column(1).type), part.column(1)])
+                yield pa.RecordBatch.from_arrays([row, doc, *rest], names=names)
+
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _lowered(docs, "doc_id").mapInArrow(
-        run, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double"
+    rows = _lowered(numbered, "row", "doc_id").mapInArrow(
+        run, f"row long, doc_id {kind}, h long, own long, tokens double, n_words long, known double"
+    )
+    table_ = counts.select(F.xxhash64("word").alias("h"), "n").groupBy("h").agg(F.max("n").alias("n"))
+    share = F.log(F.coalesce("n", F.lit(0)) - F.col("own") + UNSEEN) - F.log("tokens")
+    found = F.when(F.col("own") == 0, F.col("known")).otherwise(F.col("own") * share)
+    sums = rows.join(table_.hint("merge"), "h", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum(found).alias("log_likelihood")
     )
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return sums.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary = Vocabulary.fitted(docs)
-    return score(docs, vocabulary, train(checkpointed(triples(docs, vocabulary))))
+    counts = checkpointed(word_counts(docs))
+    vocabulary = Vocabulary.fitted(counts)
+    return score(docs, counts, vocabulary, train(docs, vocabulary))
