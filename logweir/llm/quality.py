@@ -12,13 +12,14 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import SPACE, table, words
+from logweir.llm.common import SPACE, let, table, words
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -60,38 +61,56 @@ RULES = (
 )
 
 
-def _window_keys(w: Column) -> Column:
-    """One long per 3-word window: its hash in the high bits, its start in the low ones.
+def window_hash(*three: Column) -> Column:
+    return F.xxhash64(*three)
 
-    The start takes 16 bits up to 65,536 words, then 24, then 32.
-    """
-    key = lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
-    packed = lambda x, i: F.shiftleft(F.shiftright(key(x, i), 16), 16).bitwiseOR(i.cast("long"))
-    wide = lambda bits: lambda x, i: F.shiftleft(F.shiftright(key(x, i), bits), bits).bitwiseOR(i.cast("long"))
+
+#: Bits of a window's key that hold its start, by the most words they serve.
+START_BITS = (16, 24, 32)
+
+
+def _by_length(w: Column, of: Callable[[int], Column]) -> Column:
+    """``of`` the start bits that the number of words needs."""
+    small, wide, widest = START_BITS
+    return F.when(F.size(w) <= 1 << small, of(small)).when(F.size(w) <= 1 << wide, of(wide)).otherwise(of(widest))
+
+
+def _window_keys(w: Column) -> Column:
+    """One long per 3-word window: its hash in the high bits, its start in the low ones."""
+    key = lambda x, i: window_hash(x, F.get(w, i + 1), F.get(w, i + 2))
+    packed = lambda bits: lambda x, i: F.shiftleft(F.shiftright(key(x, i), bits), bits).bitwiseOR(i.cast("long"))
     starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    return (
-        F.when(F.size(w) <= 1 << 16, F.transform(starts, packed))
-        .when(F.size(w) <= 1 << 24, F.transform(starts, wide(24)))
-        .otherwise(F.transform(starts, wide(32)))
-    )
+    return _by_length(w, lambda bits: F.transform(starts, packed(bits)))
 
 
 def _repeated_starts(w: Column, s: Column) -> Column:
-    """Starts of the windows whose hash, and words, a neighbour in the sorted keys ``s`` shares."""
-
-    def of(bits: int) -> Column:
-        word = lambda x, k: F.get(w, x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + k)
+    """Starts of the windows that are found twice or more, from the sorted keys ``s``.
 
-        def same(x: Column, y: Column) -> Column:
-            alike = [word(x, k) == word(y, k) for k in range(3)]
-            return reduce(lambda a, b: a & b, alike, F.shiftright(x.bitwiseXOR(y), bits) == 0)
+    Windows of one hash are neighbours. Where all neighbours of one hash have the same words,
+    as in all but very few texts, those are the repeats; where some don't, the windows of the
+    text are sorted again by their words.
+    """
+    none = F.lit([]).cast("array<bigint>")
 
-        again = F.exists(F.transform(s, lambda x, j: same(x, F.get(s, j - 1))), lambda x: x)
-        found = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-        starts = F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)))
-        return F.when(again, starts).otherwise(F.lit([]).cast("array<bigint>"))
+    def of(bits: int) -> Column:
+        start = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
+        word = lambda x, k: F.get(w, start(x).cast("int") + k)
+        hashed = lambda x, y: F.shiftright(x.bitwiseXOR(y), bits) == 0
+        alike = lambda x, y: reduce(lambda a, b: a & b, [word(x, k) == word(y, k) for k in range(3)])
+        before = lambda test: F.exists(F.transform(s, lambda x, j: test(x, F.get(s, j - 1))), lambda x: x)
+        found = F.filter(s, lambda x, j: hashed(x, F.get(s, j - 1)) | hashed(x, F.get(s, j + 1)))
+        # Null where windows of one hash differ.
+        mixed = before(lambda x, y: hashed(x, y) & ~alike(x, y))
+        return F.when(~before(hashed), none).when(~mixed, F.transform(found, start))
+
+    def by_words(t: Column) -> Column:
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        found = F.filter(t, lambda x, j: F.coalesce(same(x, F.get(t, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(t, j + 1)), F.lit(False)))
+        return F.transform(found, lambda x: x["i"].cast("long"))
 
-    return F.when(F.size(w) <= 1 << 16, of(16)).when(F.size(w) <= 1 << 24, of(24)).otherwise(of(32))
+    starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+    windows = F.transform(starts, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+    return F.coalesce(_by_length(w, of), let(F.sort_array(windows), by_words))
 
 
 def with_metrics(docs: DataFrame, out: str = "__q") -> DataFrame:
