@@ -6,9 +6,10 @@ Documents can be inserted and deleted: counts are added or subtracted and only k
 cross the threshold enter or leave their shard's filter - cuckoo filters can delete - so
 deleting what was inserted restores the index exactly.
 
-Dropping lines probes the filters first: they travel to the tasks where their measured size
-is within ``BROADCAST_BYTES``, and only the few lines that pass are joined with the exact
-counts. Beyond that size every line goes to the exact join. Both ways give the same rows.
+Dropping lines probes the filters first, and only the few lines that pass are joined with the
+exact counts. The filters travel to the tasks where their measured size is within
+``BROADCAST_BYTES``; beyond that the lines travel to their shard's filter. Shards are doubled
+as common lines grow, so that one filter stays small. Both ways give the same rows.
 
 A line's key is the line without surrounding white space and with A-Z in lower case; lines
 with an empty key are never common. Defined cases: a null or empty text is one empty line
@@ -33,8 +34,9 @@ from logweir.llm.common import checkpointed, let, row_id, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 THRESHOLD = 10
-#: Shards bound the keys that one task holds; raise them with the number of common lines.
+#: Shards that an index has at first, and common keys of a shard, about, at which they are doubled.
 SHARDS = 64
+SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 64 << 20
 #: Copies of the exact counts that share the lines of one very common key among tasks.
 SALTS = 16
@@ -76,22 +78,32 @@ class CuckooFilter:
         marks, first, second = self.places(keys)
         return ((self.cells[first] == marks[:, None]) | (self.cells[second] == marks[:, None])).any(axis=1)
 
-    def insert(self, key: int) -> bool:
-        marks, first, second = self.places(np.array([key], np.uint64))
-        mark, at = int(marks[0]), int(first[0])
-        for bucket in (at, int(second[0])):
-            free = np.flatnonzero(self.cells[bucket] == 0)
-            if len(free):
-                self.cells[bucket, free[0]] = mark
-                return True
-        for kick in range(KICKS):
-            slot = kick % SLOTS
-            mark, self.cells[at, slot] = int(self.cells[at, slot]), mark
-            at ^= int(self._step(np.array([mark], np.uint16))[0])
-            free = np.flatnonzero(self.cells[at] == 0)
-            if len(free):
-                self.cells[at, free[0]] = mark
+    def insert(self, keys: np.ndarray) -> bool:
+        """Puts all keys (uint64) in; False if some found no place.
+
+        All keys that are left take free slots at once, then at their other bucket; after that
+        one key a bucket evicts another, which moves on to its own other bucket.
+        """
+        marks, at, other = self.places(keys)
+        for turn in range(KICKS):
+            for _ in range(2):
+                order = np.argsort(at, kind="stable")
+                marks, at, other = marks[order], at[order], other[order]
+                rank = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+                free = self.cells[at] == 0
+                fits = rank < free.sum(axis=1)
+                # The rank-th free slot of the bucket.
+                slot = np.argmax(np.cumsum(free, axis=1) == (rank + 1)[:, None], axis=1)
+                self.cells[at[fits], slot[fits]] = marks[fits]
+                marks, at, other = marks[~fits], other[~fits], at[~fits]
+            if not len(at):
                 return True
+            _, first = np.unique(at, return_index=True)
+            slot = turn % SLOTS
+            marks[first], self.cells[at[first], slot] = self.cells[at[first], slot], marks[first]
+            # The evicted were at this bucket and move on to their other one.
+            other[first] = at[first]
+            at[first] = at[first] ^ self._step(marks[first])
         return False
 
     def delete(self, key: int) -> bool:
@@ -109,7 +121,7 @@ class CuckooFilter:
         room = len(keys)
         while True:
             made = cls.sized(room)
-            if all(made.insert(int(k)) for k in keys):
+            if made.insert(keys):
                 return made
             room = 2 * max(room, 1)
 
@@ -139,6 +151,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 REFS = "h1 long, h2 long, n_docs long"
 FILTERS = "shard int, n_keys long, cells binary"
+PASSED = "__id string, pos int, h1 long, h2 long"
 
 
 def _refilled(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +162,7 @@ def _refilled(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     if kept is not None and len(common) <= 0.9 * kept.cells.size:
         gone = keys["h2"][keys["was"] & ~keys["now"]].to_numpy(np.int64).view(np.uint64)
         new = keys["h2"][keys["now"] & ~keys["was"]].to_numpy(np.int64).view(np.uint64)
-        if all(kept.delete(int(k)) for k in gone) and all(kept.insert(int(k)) for k in new):
+        if all(kept.delete(int(k)) for k in gone) and kept.insert(new):
             return pd.DataFrame({"shard": [shard], "n_keys": [len(common)], "cells": [kept.write()]})
     return pd.DataFrame({"shard": [shard], "n_keys": [len(common)], "cells": [CuckooFilter.built(common).write()]})
 
@@ -174,17 +187,18 @@ class LineIndex:
         )
         merged = checkpointed(both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("old"), F.sum("delta").alias("delta")))
         new = F.col("old") + F.col("delta")
+        common = merged.agg(F.count_if(new >= self.threshold)).first()[0]
+        shards, old = self.shards, self.filters
+        while common > shards * SHARD_KEYS:
+            shards, old = 2 * shards, self.filters.limit(0)
+        # Filters of other shards than before are filled anew.
+        was = F.col("old") >= self.threshold if shards == self.shards else F.lit(False)
         marked = merged.select(
-            F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"),
-            "h2",
-            (F.col("old") >= self.threshold).alias("was"),
-            (new >= self.threshold).alias("now"),
+            F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h2", was.alias("was"), (new >= self.threshold).alias("now")
         ).filter("was OR now")
-        filters = (
-            marked.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_refilled, FILTERS)
-        )
+        filters = marked.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(_refilled, FILTERS)
         refs = merged.select("h1", "h2", new.alias("n_docs")).filter("n_docs > 0")
-        return replace(self, refs=refs, filters=checkpointed(filters))
+        return replace(self, refs=refs, filters=checkpointed(filters), shards=shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -205,7 +219,7 @@ class LineIndex:
         """The lines that their shard's filter lets pass: __id, pos, h1, h2."""
         measured = self.filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0)).alias("n")).first()["n"]
         if measured > BROADCAST_BYTES:
-            return rows.select("__id", F.inline("__lines"))
+            return self._meeting(rows)
         sent = rows.sparkSession.sparkContext.broadcast(
             {r["shard"]: bytes(r["cells"]) for r in self.filters.select("shard", "cells").collect()}
         )
@@ -231,7 +245,45 @@ class LineIndex:
                     names=["__id", "pos", "h1", "h2"],
                 )
 
-        return rows.mapInArrow(probe, "__id string, pos int, h1 long, h2 long")
+        return rows.mapInArrow(probe, PASSED)
+
+    def _meeting(self, rows: DataFrame) -> DataFrame:
+        """The same where the filters are too large to send: the lines go to their shard's filter.
+
+        Every shard's filter goes to ``SALTS`` tasks, which share its lines, so that a very
+        common line is the work of many; a task holds one filter and streams the lines by.
+        """
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        filters = self.filters.select("shard", every, "cells")
+        lines = rows.select("__id", F.inline("__lines")).select(
+            F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard"),
+            F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int").alias("salt"),
+            "__id", "pos", "h1", "h2",
+        )
+        met = filters.unionByName(lines, allowMissingColumns=True).repartition("shard", "salt")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, cuckoo = None, None
+            for batch in batches:
+                shards, cells = batch.column(0).to_numpy(), batch.column(2)
+                cuts = np.flatnonzero(shards[1:] != shards[:-1]) + 1
+                passed = np.zeros(len(shards), bool)
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
+                    if y == x:
+                        continue
+                    if shards[x] != shard:
+                        shard, cuckoo = shards[x], None
+                    for i in range(x, y):
+                        if not cells[i].is_valid:
+                            break
+                        cuckoo, x = CuckooFilter.read(cells[i].as_py()), i + 1
+                    if cuckoo is not None and y > x:
+                        passed[x:y] = cuckoo.has(batch.column(6).slice(x, y - x).to_numpy().view(np.uint64))
+                at = pa.array(np.flatnonzero(passed))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (3, 4, 5, 6)], names=["__id", "pos", "h1", "h2"])
+
+        # A shard's filter comes before its lines, whose cells are null.
+        return met.sortWithinPartitions("shard", F.desc_nulls_last("cells")).mapInArrow(probe, PASSED)
 
     def common_lines(self, docs: DataFrame) -> DataFrame:
         """__id (of the row) and the positions of its common lines, for texts that have any."""
