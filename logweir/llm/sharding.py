@@ -4,7 +4,8 @@ Every document descends region, rack and shard. At a node each child draws
 ``-ln(u) / weight`` with u a hash of the document id and the child's name, and the smallest
 draw wins, so children get documents in proportion to their weights. A child's draw does not
 depend on its siblings: when weights change, documents move only between the subtrees whose
-weights changed. Capacity added as a region of its own (``grow``) takes documents only into
+weights changed. The number of shards decides the tree: the first ``FOUNDED`` stand in regions
+and racks, and each one after them is a region of its own, which takes documents only into
 itself.
 
 Defined cases: a null text has no bytes (size 1, checksum 0); null ids hash alike; repeated
@@ -48,14 +49,22 @@ def leaf(shard: int, weight: float = 1.0) -> Node:
     return Node(f"shard-{shard}", shard=shard, own_weight=weight)
 
 
-def tree(n_shards: int, per_rack: int = 2, racks: int = 2) -> Node:
-    """Regions of ``racks`` racks of ``per_rack`` equal shards, numbered in order."""
+#: Shards that were planned together; those added later are regions of their own.
+FOUNDED = 16
+
+
+def tree(n_shards: int, per_rack: int = 2, racks: int = 2, founded: int = FOUNDED) -> Node:
+    """Regions of ``racks`` racks of ``per_rack`` equal shards, numbered in order, then a region for each later shard."""
+    planned = min(n_shards, founded)
     rack_nodes = [
-        Node(f"rack-{at // per_rack}", tuple(leaf(i) for i in range(at, min(at + per_rack, n_shards))))
-        for at in range(0, n_shards, per_rack)
+        Node(f"rack-{at // per_rack}", tuple(leaf(i) for i in range(at, min(at + per_rack, planned))))
+        for at in range(0, planned, per_rack)
     ]
     regions = [Node(f"region-{at // racks}", tuple(rack_nodes[at : at + racks])) for at in range(0, len(rack_nodes), racks)]
-    return Node("root", tuple(regions))
+    root = Node("root", tuple(regions))
+    for shard in range(planned, n_shards):
+        root = grow(root, shard)
+    return root
 
 
 def grow(root: Node, shard: int, weight: float = 1.0) -> Node:
@@ -124,8 +133,7 @@ N_SHARDS = 16
 
 
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = tree(N_SHARDS)
-    assigned = assign(table(spark, sf_dir, "documents"), root, grow(root, N_SHARDS))
+    assigned = assign(table(spark, sf_dir, "documents"), tree(N_SHARDS), tree(N_SHARDS + 1))
     return assigned.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard"
     )
