@@ -14,12 +14,20 @@ from logweir.llm.common import checkpointed, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table rejects go."""
+    """Documents that the threshold table rejects go.
+
+    Null and empty texts have no words and go; a repeated row shares its twin's verdict; other
+    columns stay, whatever their names; of no documents none are left.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go; n_chars follows the text."""
+    """Lines that ten documents or more share go; n_chars follows the text.
+
+    No document goes. A null text stays null, an empty one empty; a row that is repeated counts
+    each time; n_chars is left as it is where the column is absent; other columns stay.
+    """
     cut = lines.LineIndex.empty(spark).insert(docs).drop_common(docs)
     if "n_chars" not in cut.columns:
         return cut
@@ -27,17 +35,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (5-word shingles, similarity 0.8) stays."""
+    """One document of each class of near copies (5-word shingles, similarity 0.8) stays.
+
+    It is the one of the smallest doc_id (nulls last, then by text). Null, empty and blank texts
+    are one class; of equal rows one stays; other columns stay, whatever their names.
+    """
     return simhash.drop_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's share of the mix takes them."""
+    """Documents as often as their source's share of the mix takes them.
+
+    Texts without words are taken not at all; a null source is a source of its own; rows of one
+    id, size and source are taken alike; other columns stay, whatever their names.
+    """
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 1024 tokens."""
+    """Pieces of windows of 1024 tokens.
+
+    A null or empty text is its end token; a long one is cut into windows; repeated rows are
+    packed separately; other columns go.
+    """
     return packing.pack(docs)
 
 
@@ -49,7 +69,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has neither the fingerprints nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the near copies nor the tokenizer; test_pipeline_against_brute_force holds the rows.
 ORACLE_SQL = None
 
 
