@@ -48,10 +48,13 @@ OWN = LEAVES // 2
 #: What is seen beyond the ends of a text.
 END = LEAVES
 SIDES = (-2, -1, 1, 2)
-HIDDEN = 32
-BATCH = 2048
+HIDDEN = 16
+#: Words a step takes at first and at most; the number doubles every ``SAME`` steps.
+BATCH = 1024
+MOST_BATCH = 8_192
+SAME = 30
 ROUNDS = 3
-RATE = 0.1
+RATE = 0.2
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 #: Results that meet on the driver in a round.
@@ -186,42 +189,56 @@ class Network:
         return np.tanh(sum(self.embed[p][around[:, p]] for p in range(len(SIDES))) + self.bias)
 
     @staticmethod
-    def _log_softmax(logits: np.ndarray) -> np.ndarray:
-        logits = logits - logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def _softmax(logits: np.ndarray) -> np.ndarray:
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        return logits
+
+    @staticmethod
+    def _log_of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log of the softmax at one place of each row."""
+        logits -= logits.max(axis=1, keepdims=True)
+        chosen = logits[np.arange(len(at)), at].astype(np.float64)
+        return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
 
     def log_probabilities(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each leaf, given the leaves around it."""
         hidden = self.hidden(around)
         group, inside = leaf // GROUPS, leaf % GROUPS
-        out = self._log_softmax(hidden @ self.out + self.out_bias)[np.arange(len(leaf)), group].astype(np.float64)
-        for g, at in _by_group(group):
-            out[at] += self._log_softmax(hidden[at] @ self.leaf[g] + self.leaf_bias[g])[np.arange(len(at)), inside[at]]
+        out = self._log_of(hidden @ self.out + self.out_bias, group)
+        order, names, starts = _by_group(group)
+        seen, inside, inner = hidden[order], inside[order], np.empty(len(leaf))
+        for g, x, y in zip(names, starts, [*starts[1:], len(order)]):
+            inner[x:y] = self._log_of(seen[x:y] @ self.leaf[g] + self.leaf_bias[g], inside[x:y])
+        out[order] += inner
         return out
 
     def gradient(self, around: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of the mean negative log-likelihood: by the hidden input of each word, and by the parts after the embeddings."""
         n, hidden = np.float32(len(leaf)), self.hidden(around)
         group, inside = leaf // GROUPS, leaf % GROUPS
-        wrong = np.exp(self._log_softmax(hidden @ self.out + self.out_bias))
+        wrong = self._softmax(hidden @ self.out + self.out_bias)
         wrong[np.arange(len(leaf)), group] -= 1
-        wrong /= n
         back = wrong @ self.out.T
         by_leaf, by_leaf_bias = np.zeros_like(self.leaf), np.zeros_like(self.leaf_bias)
-        for g, at in _by_group(group):
-            own = np.exp(self._log_softmax(hidden[at] @ self.leaf[g] + self.leaf_bias[g]))
-            own[np.arange(len(at)), inside[at]] -= 1
-            own /= n
-            back[at] += own @ self.leaf[g].T
-            by_leaf[g], by_leaf_bias[g] = hidden[at].T @ own, own.sum(axis=0)
-        back *= 1 - hidden**2
-        return back, [back.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0), by_leaf, by_leaf_bias]
-
-
-def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
+        order, names, starts = _by_group(group)
+        seen, inside, inner = hidden[order], inside[order], np.empty_like(back)
+        for g, x, y in zip(names, starts, [*starts[1:], len(order)]):
+            own = self._softmax(seen[x:y] @ self.leaf[g] + self.leaf_bias[g])
+            own[np.arange(y - x), inside[x:y]] -= 1
+            inner[x:y] = own @ self.leaf[g].T
+            by_leaf[g], by_leaf_bias[g] = seen[x:y].T @ own, own.sum(axis=0)
+        back[order] += inner
+        back *= (1 - hidden * hidden) / n
+        return back, [back.sum(axis=0), hidden.T @ wrong / n, wrong.sum(axis=0) / n, by_leaf / n, by_leaf_bias / n]
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """The order of positions by group, the groups there are, and where each starts."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
     names, starts = np.unique(group[order], return_index=True)
-    return zip(names.tolist(), np.split(order, starts[1:]))
+    return order, names.tolist(), starts.tolist()
 
 
 class Trainer:
@@ -232,12 +249,16 @@ class Trainer:
         self.rate, self.squares = np.float32(rate), [np.full_like(p, 1e-8) for p in network.parts]
         self.seen, self.predicted = np.zeros(LEAVES + 1), np.zeros(LEAVES)
         self.rest: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held = self.steps = 0
+
+    @property
+    def batch(self) -> int:
+        return min(BATCH << self.steps // SAME, MOST_BATCH)
 
     def learn(self, around: np.ndarray, leaf: np.ndarray) -> None:
         self.rest.append((around, leaf))
         self.held += len(leaf)
-        if self.held >= BATCH:
+        if self.held >= self.batch:
             self._steps(False)
 
     def finish(self) -> Network:
@@ -248,16 +269,19 @@ class Trainer:
         if not self.held:
             return
         around, leaf = (np.concatenate(c) for c in zip(*self.rest))
-        whole = len(leaf) if last else len(leaf) // BATCH * BATCH
-        for at in range(0, whole, BATCH):
-            self._step(around[at : at + BATCH], leaf[at : at + BATCH])
-        self.rest, self.held = [(around[whole:], leaf[whole:])], len(leaf) - whole
+        at = 0
+        while at + self.batch <= len(leaf) or (last and at < len(leaf)):
+            step = slice(at, at + self.batch)
+            at = step.stop
+            self._step(around[step], leaf[step])
+            self.steps += 1
+        self.rest, self.held = [(around[at:], leaf[at:])], max(0, len(leaf) - at)
 
     def _step(self, around: np.ndarray, leaf: np.ndarray) -> None:
         parts, squares = self.network.parts, self.squares
         back, grads = self.network.gradient(around, leaf)
         for p in range(len(SIDES)):
-            order = np.argsort(around[:, p], kind="stable")
+            order = np.argsort(around[:, p].astype(np.int16), kind="stable")
             rows, starts = np.unique(around[order, p], return_index=True)
             g = np.add.reduceat(back[order], starts, axis=0)
             squares[0][p][rows] += g * g
