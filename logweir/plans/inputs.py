@@ -49,13 +49,14 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
-    """Group members from the supplier table; ``mixed`` ones subscribe to different topics."""
+    """Group members from the supplier table, in groups of 700 at most; ``mixed`` ones subscribe to different topics."""
     k = F.col("s_suppkey")
+    block = F.when(k >= 4900, F.concat(F.lit("-"), F.expr("s_suppkey div 4900").cast("string"))).otherwise(F.lit(""))
     every = F.array(*[F.lit(t) for t in L.TOPIC_NAMES])
     some = F.when(k % 3 == 1, F.slice(every, 1, 3)).when(k % 3 == 2, F.slice(every, 3, 3)).otherwise(every)
     choice = F.array(*[F.array(*[F.lit(p) for p in ps.split()]) for ps in ("sticky range", "range roundrobin", "roundrobin range", "range")])
     return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("group-"), (k % 7).cast("string")).alias("group_id"),
+        F.concat(F.lit("group-"), (k % 7).cast("string"), block).alias("group_id"),
         F.concat(F.lit("m-"), F.lpad(k.cast("string"), 8, "0")).alias("member_id"),
         (some if mixed else every).alias("topics"),
         F.get(choice, (k % 4).cast("int")).alias("protocols"),

@@ -65,7 +65,8 @@ times AS (SELECT m.topic_id, m.partition_id, p.probe_ms, coalesce(min(o), -1) AS
             LEFT JOIN log l ON l.topic_id = m.topic_id AND l.partition_id = m.partition_id AND l.txn_state IS NULL AND l.timestamp_ms >= 0 AND l.timestamp_ms >= p.probe_ms) m
       JOIN (SELECT unnest([0, 1704500000000, 1705300000000, 1706000000000, 1800000000000]) AS probe_ms) p USING (probe_ms) GROUP BY ALL),
 parts AS (SELECT topic_id, topic, unnest(range(0, 4))::INT AS partition_id FROM topics),
-members AS (SELECT s_suppkey AS k, 'group-' || (s_suppkey % 7) AS group_id, 'm-' || lpad(s_suppkey::VARCHAR, 8, '0') AS member_id FROM supplier)
+members AS (SELECT s_suppkey AS k, 'group-' || (s_suppkey % 7) || CASE WHEN s_suppkey >= 4900 THEN '-' || (s_suppkey // 4900) ELSE '' END AS group_id,
+                   'm-' || lpad(s_suppkey::VARCHAR, 8, '0') AS member_id FROM supplier)
 """
 _VISIBLE = """, vis AS (SELECT l.* FROM log l JOIN (SELECT topic_id, partition_id, min(partition_offset) FILTER (txn_state = 'pending') AS p FROM log GROUP BY ALL)
   USING (topic_id, partition_id) WHERE txn_state IS NULL AND (p IS NULL OR partition_offset < p))"""
@@ -84,6 +85,16 @@ SELECT group_id, member_id, topic, unnest(range(a, a + n))::INT AS partition_id
 _ROUND = """, x AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS m FROM members),
  p AS (SELECT topic, partition_id, row_number() OVER (ORDER BY topic, partition_id) - 1 AS j FROM parts)
 SELECT group_id, member_id, topic, partition_id FROM x JOIN p ON j % m = i"""
+#: A pointer walks the ring of members, group by group, and skips those without the partition's topic.
+_ROUND_MIXED = """, ring AS (SELECT group_id, member_id, k, row_number() OVER (PARTITION BY group_id ORDER BY member_id) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS m FROM members),
+ subs AS (SELECT r.*, t.topic FROM ring r, topics t WHERE k % 3 = 0 OR (k % 3 = 1 AND topic_id <= 3) OR (k % 3 = 2 AND topic_id >= 3)),
+ p AS (SELECT g.group_id, topic, partition_id, row_number() OVER (PARTITION BY g.group_id ORDER BY topic, partition_id) - 1 AS j
+       FROM parts JOIN (SELECT DISTINCT group_id, topic FROM subs) g USING (topic)),
+ walk AS (SELECT DISTINCT group_id, -1::BIGINT AS j, -1::BIGINT AS at FROM members
+          UNION ALL
+          SELECT w.group_id, p.j, min(w.at + 1 + (s.i - (w.at + 1) % s.m + s.m) % s.m)
+          FROM walk w JOIN p ON p.group_id = w.group_id AND p.j = w.j + 1 JOIN subs s ON s.group_id = w.group_id AND s.topic = p.topic GROUP BY ALL)
+SELECT w.group_id, member_id, topic, partition_id FROM walk w JOIN p ON p.group_id = w.group_id AND p.j = w.j JOIN ring r ON r.group_id = w.group_id AND r.i = w.at % r.m"""
 _PROTOCOL = """, c AS (SELECT group_id, member_id, CASE k % 4 WHEN 0 THEN ['sticky', 'range'] WHEN 1 THEN ['range', 'roundrobin'] WHEN 2 THEN ['roundrobin', 'range'] ELSE ['range'] END AS ps FROM members),
  l AS (SELECT group_id, arg_min(ps, member_id) AS ps, count(*) AS n FROM c GROUP BY 1),
  u AS (SELECT l.group_id, p, i, n FROM (SELECT *, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM l) l),
@@ -171,6 +182,7 @@ SELECT request, topic, CASE WHEN partitions <= 0 THEN 1 ELSE partitions END AS p
     "expired_members": "SELECT group_id, member_id FROM members WHERE k * 1000 > 30000",
     "assign_range": _RANGE,
     "assign_roundrobin": _ROUND,
+    "assign_roundrobin_mixed": _ROUND_MIXED,
     "common_protocol": _PROTOCOL,
     "sequence_validate": "SELECT producer_id, topic_id, partition_id, arrival, base_sequence, 1::INT AS n_records, outcome, expected FROM batches",
     "dedup_log": "SELECT producer_id, topic_id, partition_id, sequence AS base_sequence FROM log",
@@ -241,4 +253,7 @@ SELECT request, topic, CASE WHEN partitions <= 0 THEN 1 ELSE partitions END AS p
       GROUP BY 1, 2 HAVING start_ms + 3600000 <= (SELECT max(timestamp_ms) FROM log) - 600000""",
     "stream_forward": "SELECT topic_id, partition_id, partition_offset FROM bucketed WHERE txn_state IS NULL AND bucket < 50",
 }
-ORACLES: dict[str, str] = {name: LOG + body for name, body in _BODIES.items()}
+ORACLES: dict[str, str] = {
+    name: (LOG.replace("WITH ", "WITH RECURSIVE ", 1) if name == "assign_roundrobin_mixed" else LOG) + body
+    for name, body in _BODIES.items()
+}

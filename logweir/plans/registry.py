@@ -189,7 +189,7 @@ def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _by_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = inputs.members(spark, sf_dir, False)
     names = F.array(*[F.lit(p) for p in ("Range", "roundrobin", "cooperative-sticky", "unknown")])
-    protocols = members.select("group_id").distinct().withColumn("protocol", F.get(names, F.substring("group_id", 7, 9).cast("int") % 4))
+    protocols = members.select("group_id").distinct().withColumn("protocol", F.get(names, F.regexp_extract("group_id", r"group-(\d+)", 1).cast("int") % 4))
     none = spark.createDataFrame([], "group_id string, member_id string, topic string, partition_id int")
     return groups.assign(members, topics(spark), none, protocols)
 
@@ -319,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "unassigned_partitions": _unassigned,
     "assign_range": lambda s, d: groups.assign_range(inputs.members(s, d, True), topics(s)),
     "assign_roundrobin": lambda s, d: groups.assign_roundrobin(inputs.members(s, d, False), topics(s)),
+    "assign_roundrobin_mixed": lambda s, d: groups.assign_roundrobin(inputs.members(s, d, True), topics(s)),
     "assign_sticky": _sticky,
     "common_protocol": lambda s, d: groups.common_protocol(inputs.members(s, d, True)),
     "sequence_validate": _on_log(lambda s, d, log: producer.sequence_outcomes(inputs.batches(log))),
