@@ -308,10 +308,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
             return let(made, told)
 
         def joined(found: Column) -> Column:
-            names = F.array_distinct(F.flatten(F.transform(found, lambda f: f["names"])))
             # A name's words hold letters, hyphens and apostrophes only.
-            bare = lambda g: F.aggregate(names, g, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}'’-])"), n["word"], F.lit(r"(?![\p{L}-])")), n["sur"]))
-            rest = F.when(F.size(names) == 0, gaps).otherwise(F.transform(gaps, bare))
+            word = lambda n: F.concat(F.lit(r"(?<![\p{L}'’-])"), n["word"], F.lit(r"(?![\p{L}-])"))
+            renamed = lambda names: lambda g: F.aggregate(names, g, lambda t, n: F.regexp_replace(t, word(n), n["sur"]))
+            known = F.array_distinct(F.flatten(F.transform(found, lambda f: f["names"])))
+            rest = let(known, lambda names: F.when(F.size(names) == 0, gaps).otherwise(F.transform(gaps, renamed(names))))
             pieces = F.zip_with(rest, F.transform(found, lambda f: f["out"]), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
             return F.struct(
                 F.array_join(pieces, "").alias("text"),

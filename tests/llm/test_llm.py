@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logweir.llm import chat, lines, mixing, neighbours, packing, pii, quality, queries, scoring, sharding, simhash
+from logweir.llm import chat, common, lines, mixing, neighbours, packing, pii, quality, queries, scoring, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, w string, size long, slot long"
 
@@ -215,6 +215,18 @@ def test_line_index_however_the_filters_travel(spark, monkeypatch, sent):
     assert kept == {"", "own 3\n"}
 
 
+@pytest.mark.parametrize("hot_keys", [4096, 4, 1])
+def test_spread_join_is_a_join(spark, monkeypatch, hot_keys):
+    """Half of the rows under one key, some keys absent on the other side, null keys."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    rows = spark.createDataFrame([(None if i % 50 == 0 else 0 if i % 2 else i % 13, i) for i in range(600)], "k int, v int")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k <> 5").withColumn("x", F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = common.spread_join(rows, keyed, "k", "n", 600, how)
+        want = rows.join(keyed.drop("n"), "k", how)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_row_ids_tell_rows_apart(spark):
     rows = spark.createDataFrame([("a", "b:c"), ("a:b", "c"), (None, "x"), ("~", "x"), ("a", None), ("a", "")], "doc_id string, text string")
     assert rows.select(lines.row_id()).distinct().count() == 6
