@@ -171,16 +171,37 @@ def metrics_overview(log: DataFrame, topics: DataFrame, members: DataFrame, comm
     return parts.groupBy("category", "metric", "unit").agg(F.sum("v").alias("value")).select("category", "metric", "value", "unit")
 
 
+#: Slices of values in an octave.
+OCTAVE = 64
+
+
 def nearest_rank(df: DataFrame, group: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
     """Exact nearest-rank percentiles: the smallest value with at least p percent of rows at or below it.
 
-    Distinct values are counted first, so the window runs over values, not rows.
+    Counts of slices of values, in their order, tell which slice holds each rank. Only the rows of
+    those slices are counted by value, so no group is sorted whole. Rows of a null group take no part.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    up = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("__upto", F.sum("__n").over(up)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*group)))
-    at = [F.min(F.when(F.col("__upto") * 100 >= F.col("__all") * p, F.col(value))).alias(f"p{p}") for p in percents]
-    return placed.groupBy(*group).agg(*at)
+    v = F.col(value).cast("double")
+    near = F.signum(v) * F.floor(F.log2(F.abs(v)) * OCTAVE + 2000 * OCTAVE)
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value), F.when(v == 0, 0.0).otherwise(near).alias("__slice"))
+    upto = lambda *order: Window.partitionBy(*group, *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count(F.lit(1)).alias("__n")
+    slices = (
+        rows.groupBy(*group, "__slice").agg(n)
+        .withColumn("__upto", F.sum("__n").over(upto("__slice")))
+        .withColumn("__all", F.sum("__n").over(Window.partitionBy(*group)))
+    )
+    # Rank of each percentile, from 1, and how much of it is left in the slice that holds it.
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.greatest(F.ceil(F.col("__all") * p / F.lit(100)), F.lit(1)).alias("r")) for p in percents])
+    wanted = (
+        slices.select(*group, "__slice", "__n", "__upto", F.inline(ranks))
+        .filter((F.col("r") <= F.col("__upto")) & (F.col("r") > F.col("__upto") - F.col("__n")))
+        .select(*group, "__slice", "p", (F.col("r") - F.col("__upto") + F.col("__n")).alias("__left"))
+    )
+    values = rows.join(wanted.select(*group, "__slice").distinct(), [*group, "__slice"], "left_semi").groupBy(*group, "__slice", value).agg(n)
+    placed = values.withColumn("__upto", F.sum("__n").over(upto("__slice", value)))
+    found = placed.join(wanted, [*group, "__slice"]).filter("__upto >= __left")
+    return found.groupBy(*group).agg(*[F.min(F.when(F.col("p") == p, F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def row_distinct(log: DataFrame) -> DataFrame:

@@ -220,6 +220,16 @@ def test_transactions_and_outbox(spark):
     assert [r["local_offset"] for r in outbox.replay(log, empty, 1, 0, None).collect()] == [0]
 
 
+def test_nearest_rank_against_sorting(spark):
+    rng = random.Random(8)
+    rows = [("a", rng.choice((-1, 1)) * rng.lognormvariate(0, 3)) for _ in range(700)] + [("b", float(i % 3)) for i in range(200)] + [("c", 0.0), ("c", None), ("d", -5.0)]
+    got = {r["k"]: r for r in admin.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", (0, 1, 50, 95, 100)).collect()}
+    for k in "abcd":
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        for p in (0, 1, 50, 95, 100):
+            assert got[k][f"p{p}"] == own[max(-(-len(own) * p // 100), 1) - 1]
+
+
 def test_topic_names_and_creation(spark):
     topics = spark.createDataFrame([(1, "view", 4)], "topic_id int, topic string, partitions int")
     wanted = spark.createDataFrame([(1, "view", 1), (2, "..", 1), (3, "new", 0), (4, "new", 3), (5, "other", 2)], "request long, topic string, partitions int")
