@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,18 +146,42 @@ class Vocabulary:
             tokens[leaf], types[leaf] = n, m
         return cls.of(words, tokens, types)
 
-    def leaves(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Leaves of all words with two end marks before, between and after texts; words per text; the words."""
-        get, ids, sizes, words = self.known.get, [END, END], [], []
-        for text in texts:
-            own = _tokens(text.as_py())
-            for w in own:
-                found = get(w)
-                ids.append(shared_leaf(w) if found is None else found[0])
-            ids += [END, END]
-            sizes.append(len(own))
-            words.append(own)
-        return np.array(ids, np.int64), np.array(sizes, np.int64), words
+
+class Lookup(dict):
+    """Word to code; leaf and count (-1 where it isn't known) by code, and the words outside by code from ``first`` on."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(zip(vocabulary.known, range(len(vocabulary.known))))
+        self.first = len(self)
+        self.leaf = np.zeros(self.first + HELD_WORDS, np.int64)
+        self.count = np.full(self.first + HELD_WORDS, -1, np.int64)
+        if self.first:
+            self.leaf[: self.first], self.count[: self.first] = zip(*vocabulary.known.values())
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.first + len(self.words)
+        if code == len(self.leaf):
+            self.leaf, self.count = (np.concatenate((x, np.full(len(x), -1))) for x in (self.leaf, self.count))
+        self[word], self.leaf[code] = code, shared_leaf(word)
+        self.words.append(word)
+        return code
+
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all words, and words per text. Earlier codes of words outside may lose their meaning."""
+        if len(self.words) > HELD_WORDS // 2:
+            for word in self.words:
+                del self[word]
+            self.words = []
+        own = [_tokens(text.as_py()) for text in texts]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum())), sizes
+
+    def marked(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The leaves of the words, with two end marks before, between and after texts."""
+        ids = np.full(len(codes) + 2 * len(sizes) + 2, END)
+        ids[np.arange(len(codes)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)] = self.leaf[codes]
+        return ids
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +215,10 @@ class Network:
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
+        """Of each row; the largest logit of all is taken off, as rows of one batch are of one size."""
+        logits -= logits.max()
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= np.maximum(logits.sum(axis=1, keepdims=True), 1e-30)
         return logits
 
     @staticmethod
@@ -204,6 +230,10 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each leaf, given the leaves around it."""
+        cuts = range(0, len(leaf), MOST_BATCH)
+        return np.concatenate([self._log_probabilities(around[c : c + MOST_BATCH], leaf[c : c + MOST_BATCH]) for c in cuts] or [np.zeros(0)])
+
+    def _log_probabilities(self, around: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         hidden = self.hidden(around)
         group, inside = leaf // GROUPS, leaf % GROUPS
         out = self._log_of(hidden @ self.out + self.out_bias, group)
@@ -339,10 +369,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
 
         def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, now, step = sent.value  # noqa: B023
-            trainer = Trainer(now, step)
+            trainer, look = Trainer(now, step), Lookup(known)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
-                    trainer.learn(*windows(known.leaves(batch.column(0).slice(at, 256))[0]))
+                    trainer.learn(*windows(look.marked(*look.codes(batch.column(0).slice(at, 256)))))
             made = Average(now.parts)
             made.add(trainer.finish(), trainer.seen, trainer.predicted)
             if made.predicted.any():
@@ -392,43 +422,41 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, network: N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = sent.value
+        look = Lookup(words)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = part.column(0).to_numpy()
-                ids, sizes, texts = words.leaves(part.column(2))
-                logs = net.log_probabilities(*windows(ids)) if sizes.sum() else np.zeros(0)
+                rows, docs_ = part.column(0).to_numpy(), part.column(1)
+                codes, sizes = look.codes(part.column(2))
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                total = np.bincount(of, logs, len(sizes))
-                out: list[tuple] = []
-                shared = []
-                for i, own in enumerate(texts):
-                    tf = Counter(own)
-                    leaf_tf: Counter[int] = Counter()
-                    mine = []
-                    for w, n in tf.items():
-                        leaf, count = words.known.get(w, (-1, -1))
-                        leaf = shared_leaf(w) if leaf < 0 else leaf
-                        if leaf >= OWN:
-                            leaf_tf[leaf] += n
-                            mine.append((w, n, leaf, count))
-                    for w, n, leaf, count in mine:
-                        if count >= 0:
-                            shared.append((i, n, count, leaf, leaf_tf[leaf]))
-                        else:
-                            denominator = words.tokens[leaf] - leaf_tf[leaf] + UNSEEN * (words.types[leaf] + 1)
-                            out.append((rows[i], word_hash(w), n, denominator, 0, 0.0))
-                if shared:
-                    i, n, count, leaf, own_tokens = np.array(shared, np.int64).T
-                    found = n * log_share(count, n, words.tokens[leaf], own_tokens, words.types[leaf])
-                    total += np.bincount(i, found, len(sizes))
-                # A row for what is known; its own number keeps such rows apart in the join.
-                n = len(out)
-                out += zip(rows, rows, [0] * len(rows), [1.0] * len(rows), sizes, total)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
-                row, *rest = (pa.array(c, k) for c, k in zip(zip(*out), kinds))
-                doc = pa.concat_arrays([pa.nulls(n, part.column(1).type), part.column(1)])
-                yield pa.RecordBatch.from_arrays([row, doc, *rest], names=names)
+                total = np.bincount(of, net.log_probabilities(*windows(look.marked(codes, sizes))), len(sizes))
+                # Words of shared leaves: how often each, and its leaf, is in its text.
+                shared = np.flatnonzero(look.leaf[codes] >= OWN)
+                pair, n = np.unique(of[shared] * (1 << 32) + codes[shared], return_counts=True)
+                text, code = pair >> 32, pair & ((1 << 32) - 1)
+                leaf, count = look.leaf[code], look.count[code]
+                _, where = np.unique(text * LEAVES + leaf, return_inverse=True)
+                own_tokens = np.bincount(where, n)[where] if len(where) else n
+                tokens, types = words.tokens[leaf], words.types[leaf]
+                known = count >= 0
+                found = n[known] * log_share(count[known], n[known], tokens[known], own_tokens[known], types[known])
+                total += np.bincount(text[known], found, len(sizes))
+                out = np.flatnonzero(~known)
+                hashes = np.fromiter((word_hash(look.words[c]) for c in (code[out] - look.first).tolist()), np.int64, len(out))
+                rest = tokens[out] - own_tokens[out] + UNSEEN * (types[out] + 1)
+                # A row for each word outside, then one for each text with what is known; a text's own
+                # number keeps such rows apart in the join.
+                both = lambda a, b: pa.array(np.concatenate((a, b)))
+                none = np.zeros(len(out))
+                yield pa.RecordBatch.from_arrays([
+                    both(rows[text[out]], rows),
+                    pa.concat_arrays([pa.nulls(len(out), docs_.type), docs_]),
+                    both(hashes, rows),
+                    both(n[out], np.zeros(len(rows), np.int64)),
+                    both(rest, np.ones(len(rows))),
+                    both(none.astype(np.int64), sizes),
+                    both(none, total),
+                ], names=names)
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

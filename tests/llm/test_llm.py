@@ -241,9 +241,10 @@ def test_cuckoo_filter():
     assert made.has(keys[:1000]).mean() < 0.05
 
 
-def test_scores_against_a_plain_model(spark, monkeypatch):
+@pytest.mark.parametrize("held", [scoring.HELD_WORDS, 50])
+def test_scores_against_a_plain_model(spark, monkeypatch, held):
     """Every score by a loop over its words, with most words outside of what is sent."""
-    monkeypatch.setattr(scoring, "KNOWN", 300)
+    monkeypatch.setattr(scoring, "HELD_WORDS", held)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     counts = scoring.word_counts(docs)
     vocabulary = scoring.Vocabulary.fitted(counts, 300)
@@ -308,7 +309,8 @@ def test_network_beats_counts_held_out(spark):
     vocabulary = scoring.Vocabulary.fitted(counts)
     train = docs.filter("doc_id % 10 <> 0").repartition(4)
     network = scoring.train(train, vocabulary)
-    ids = lambda df: scoring.windows(vocabulary.leaves(df.select(F.encode(F.lower("text"), "UTF-8").alias("t")).toArrow().column("t").combine_chunks())[0])
+    look = scoring.Lookup(vocabulary)
+    ids = lambda df: scoring.windows(look.marked(*look.codes(df.select(F.encode(F.lower("text"), "UTF-8").alias("t")).toArrow().column("t").combine_chunks())))
     (seen, target), (around, leaf) = ids(train), ids(docs.filter("doc_id % 10 = 0"))
     alone = (np.bincount(target, minlength=scoring.LEAVES) + 0.1) / (len(target) + 0.1 * scoring.LEAVES)
     pairs, firsts, kinds = {}, {}, {}
