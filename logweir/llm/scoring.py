@@ -43,7 +43,7 @@ from logweir.llm.common import checkpointed, table
 #: Words that are sent to the tasks with their counts, at most; the others are joined.
 KNOWN = 65_536
 #: Groups of the softmax and leaves in a group; the first half of the groups has a word a leaf.
-GROUPS = 64
+GROUPS = 32
 LEAVES = GROUPS * GROUPS
 OWN = LEAVES // 2
 #: What is seen beyond the ends of a text.
@@ -211,7 +211,11 @@ class Network:
         ])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[p][around[:, p]] for p in range(len(SIDES))) + self.bias)
+        found = np.take(self.embed[0], around[:, 0], axis=0)
+        for p in range(1, len(SIDES)):
+            found += np.take(self.embed[p], around[:, p], axis=0)
+        found += self.bias
+        return np.tanh(found, out=found)
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
