@@ -97,11 +97,11 @@ def _repeated_starts(w: Column, s: Column) -> Column:
         word = lambda x, k: F.get(w, start(x).cast("int") + k)
         hashed = lambda x, y: F.shiftright(x.bitwiseXOR(y), bits) == 0
         alike = lambda x, y: reduce(lambda a, b: a & b, [word(x, k) == word(y, k) for k in range(3)])
-        before = lambda test: F.exists(F.transform(s, lambda x, j: test(x, F.get(s, j - 1))), lambda x: x)
         found = F.filter(s, lambda x, j: hashed(x, F.get(s, j - 1)) | hashed(x, F.get(s, j + 1)))
-        # Null where windows of one hash differ.
-        mixed = before(lambda x, y: hashed(x, y) & ~alike(x, y))
-        return F.when(~before(hashed), none).when(~mixed, F.transform(found, start))
+        # 1 where a window has the hash of the one before it, 2 where its words differ all the same.
+        kind = lambda x, y: F.when(hashed(x, y), F.when(alike(x, y), 1).otherwise(2)).otherwise(0)
+        worst = F.coalesce(F.array_max(F.transform(s, lambda x, j: kind(x, F.get(s, j - 1)))), F.lit(0))
+        return let(worst, lambda k: F.when(k == 0, none).when(k == 1, F.transform(found, start)))
 
     def by_words(t: Column) -> Column:
         same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
