@@ -15,8 +15,8 @@ is searched breadth first over its unvisited members and gives the edges of a sp
 forest, not its pairs: a dense ball of near copies costs about one pass over its members. A
 file too large for one task is cut into blocks, every two of which meet.
 Components of the edges are found by alternating large-star and small-star steps, written to
-the shared checkpoint folder. Keys that hold a large share of the rows - a file, the hub of a
-class, a fingerprint of many copies - are joined by ``spread_join``, which keeps them spread.
+the shared checkpoint folder. Keys that hold a large share of the rows - a file, a class, a
+fingerprint of many copies - are joined by ``spread_join``, which keeps them spread.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; a text with
 fewer words than a shingle is one shingle; repeated rows share a fingerprint and so a class;
@@ -199,14 +199,12 @@ def components(edges: DataFrame) -> DataFrame:
         summary = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if summary == seen:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen, total = summary, 2 * summary[0]
-        least = lambda rows: rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        seen = summary
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = least(both).select("a", F.least("a", "m").alias("m"), "n")
-        upper = spread_join(both, low, "a", "n", total).filter("b > a")
-        large = checkpointed(upper.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        floor = least(large)
-        small = spread_join(large, floor, "a", "n", total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(floor, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = checkpointed(small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct())
 
 
