@@ -108,11 +108,19 @@ def validate(requests: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def commit_offsets(committed: DataFrame, pending: DataFrame, states: DataFrame) -> DataFrame:
-    """Group offsets after every committed transaction's pending offsets (latest by seq) are moved in."""
+    """Group offsets after every committed transaction's pending offsets (latest by seq) are moved in.
+
+    Where a commit of the group and a pending offset share the latest seq, the group's commit holds.
+    """
     done = states.filter("state = 'CompleteCommit'").select("txn_id")
-    moved = pending.join(done, "txn_id", "left_semi").select("group_id", *KEYS, "committed_offset", "seq")
-    both = committed.select("group_id", *KEYS, "committed_offset", "seq").unionByName(moved)
-    return both.groupBy("group_id", *KEYS).agg(F.max_by("committed_offset", "seq").alias("committed_offset"))
+    columns = ["group_id", *KEYS, "committed_offset", "seq"]
+    moved = pending.join(done, "txn_id", "left_semi").select(*columns, F.lit(True).alias("moved"))
+    both = committed.select(*columns, F.lit(False).alias("moved")).unionByName(moved)
+    latest = lambda side: F.max_by(F.when(side, F.col("committed_offset")), F.when(side, F.col("seq")))
+    last_seq = lambda side: F.max(F.when(side, F.col("seq")))
+    is_moved, own = F.col("moved"), ~F.col("moved")
+    later = F.coalesce(last_seq(is_moved) > last_seq(own), last_seq(own).isNull())
+    return both.groupBy("group_id", *KEYS).agg(F.when(later, latest(is_moved)).otherwise(latest(own)).alias("committed_offset"))
 
 
 def without_aborted(log: DataFrame, before_ms: int) -> DataFrame:

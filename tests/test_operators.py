@@ -220,6 +220,18 @@ def test_transactions_and_outbox(spark):
     assert [r["local_offset"] for r in outbox.replay(log, empty, 1, 0, None).collect()] == [0]
 
 
+def test_pending_offset_of_a_commits_seq(spark):
+    """On an equal seq the group's own commit holds, in whatever order the rows come; else the later one."""
+    offset = "group_id string, topic_id int, partition_id int, committed_offset long, seq long"
+    own = [("g", 1, p, 10, 5) for p in range(4)]
+    moves = [("t", "g", 1, 0, 12, 5), ("t", "g", 1, 1, 12, 6), ("t", "g", 1, 2, 12, 4), ("open", "g", 1, 3, 12, 6), ("t", "g", 1, 4, 12, 5)]
+    states = spark.createDataFrame([("t", "CompleteCommit"), ("open", "Ongoing")], "txn_id string, state string")
+    pending = spark.createDataFrame(moves, f"txn_id string, {offset}")
+    for rows in (own, own[::-1]):
+        got = txn.commit_offsets(spark.createDataFrame(rows, offset), pending, states).collect()
+        assert {r["partition_id"]: r["committed_offset"] for r in got} == {0: 10, 1: 12, 2: 10, 3: 10, 4: 12}
+
+
 def test_nearest_rank_against_sorting(spark):
     rng = random.Random(8)
     rows = [("a", rng.choice((-1, 1)) * rng.lognormvariate(0, 3)) for _ in range(700)] + [("b", float(i % 3)) for i in range(200)] + [("c", 0.0), ("c", None), ("d", -5.0)]
