@@ -235,7 +235,7 @@ def _streamed(kind: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = os.path.join(shared_folder(spark), f"logweir-{kind}-{spark.range(1).select(F.uuid()).first()[0]}")
-        log = event_log(spark, sf_dir)
+        log = None if kind in ("append", "sessions") else event_log(spark, sf_dir)  # these two do not read it
         made = {
             "append": lambda: event_records(spark, sf_dir),
             "dedup": lambda: inputs.batches(log),

@@ -85,32 +85,47 @@ def deduplicated(batches: DataFrame) -> DataFrame:
     )
 
 
-def expired_sessions(heartbeats: DataFrame) -> DataFrame:
+#: A step in Python has a fixed cost, so it serves a bucket of members rather than one.
+BUCKETS = 1024
+
+
+def expired_sessions(heartbeats: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Members whose session ran out in event time: no heartbeat (at_ms) within timeout_ms, by a timer each.
 
-    The stream's watermark, one second late, is the clock. A member that heartbeats again later
-    starts a new session.
+    The stream's watermark, one second late, is the clock; a heartbeat without time or timeout is
+    none. A member that heartbeats again later starts a new session. The last heartbeats and timers
+    of a bucket's members are one row of state and are tested together.
     """
+    ids, columns = ["group_id", "member_id"], ["group_id", "member_id", "last", "timeout", "due"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last, limit) = state.get
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(columns, state.get)) if state.exists else {c: [] for c in columns})
+        if not state.hasTimedOut:
+            seen = pd.DataFrame({c: [] for c in columns})
+            for rows in frames:
+                rows = rows.rename(columns={"at_ms": "last", "timeout_ms": "timeout"})[columns[:4]].assign(due=0)
+                rows = rows if seen.empty else pd.concat([seen, rows], ignore_index=True)
+                seen = rows.sort_values(["last", "timeout"]).drop_duplicates(ids, keep="last")
+            both = seen if held.empty else pd.concat([held, seen], ignore_index=True)
+            beat = both.duplicated(ids, keep=False) | (both["due"] == 0)
+            held = both.assign(beat=beat).sort_values("last", kind="stable").drop_duplicates(ids, keep="last")
+            held["due"] = held["due"].mask(held["beat"], (held["last"] + held["timeout"]).clip(lower=now + 1))
+        gone = held["due"] < now
+        kept, over = held[~gone], held[gone]
+        if kept.empty:
             state.remove()
-            yield pd.DataFrame({"group_id": [key[0]], "member_id": [key[1]], "expired_ms": [last + limit]})
-            return
-        last, limit = state.get if state.exists else (0, 0)
-        for rows in frames:
-            at = int(rows["at_ms"].argmax())
-            if rows["at_ms"].iloc[at] >= last:
-                last, limit = int(rows["at_ms"].iloc[at]), int(rows["timeout_ms"].iloc[at])
-        state.update((last, limit))
-        state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
-
-    timed = heartbeats.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", "1 second")
-    return timed.groupBy("group_id", "member_id").applyInPandasWithState(
+        else:
+            state.update(tuple([None if pd.isna(v) else v for v in kept[c].tolist()] for c in columns))
+            state.setTimeoutTimestamp(int(kept["due"].min()))
+        yield over[ids].assign(expired_ms=over["last"] + over["timeout"])
+
+    bucket = F.pmod(F.xxhash64(*ids), F.lit(buckets)).alias("bucket")
+    timed = heartbeats.dropna(subset=["at_ms", "timeout_ms"]).select(bucket, *ids, "at_ms", "timeout_ms", F.timestamp_millis("at_ms").alias("ts"))
+    return timed.withWatermark("ts", "1 second").groupBy("bucket").applyInPandasWithState(
         step,
         "group_id string, member_id string, expired_ms long",
-        "last long, timeout long",
+        "group_id array<string>, member_id array<string>, last array<long>, timeout array<long>, due array<long>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -118,6 +118,34 @@ def test_appending_restarts(spark, tmp_path):
         assert [o for _, o in own] == list(range(30))
 
 
+def test_sessions_against_a_plain_model(spark, tmp_path):
+    """Changing timeouts, returns, late and unordered heartbeats over eight files; many members share a row of state."""
+    rng, named = random.Random(9), [(f"g{i % 3}", f"m{i}") for i in range(2500)] + [(None, "m1"), ("g1", None)]
+    files = [[(*rng.choice(named), 60_000 * b + rng.randrange(-90_000, 60_000), rng.choice((0, 20_000, 90_000, 200_000))) for _ in range(1500)] for b in range(2, 10)]
+    files = [list({row[:3]: row for row in rows}.values()) for rows in files]
+    held, expected, mark, late, most = {}, [], 0, 0, 0
+    for rows in [*files, []]:
+        beats = [row for row in rows if row[2] > late]  # Spark drops by the mark of the batch before
+        for *name, at, limit in sorted(beats, key=lambda row: row[2]):
+            last = held.get(tuple(name), (0, 0, 0))
+            last = (at, limit) if at >= last[0] else last[:2]
+            held[tuple(name)] = (*last, max(sum(last), mark + 1))
+        most = max(most, len(held))
+        for name in [n for n, (_, _, due) in held.items() if due < mark and n not in {row[:2] for row in beats}]:
+            last, limit, _ = held.pop(name)
+            expected.append((*name, last + limit))
+        late, mark = mark, max([mark, *(row[2] - 1000 for row in rows)])
+    schema = "group_id string, member_id string, at_ms long, timeout_ms long"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found = flows.expired_sessions(flows.stream(spark, str(tmp_path / "in"), schema))
+    query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=repr)
+    assert got == sorted(expected, key=repr) and {n for *ids, _ in got for n in ids} >= {None, "m1", "g1"} and len(got) > 2500
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 1024 < most
+
+
 def test_transform_takes_effect_once(spark, tmp_path):
     """A batch that is run again, as after a crash, writes the same output, offsets and commits."""
     log = spark.createDataFrame([(1, 0, i, i, None) for i in range(6)], "topic_id int, partition_id int, partition_offset long, global_offset long, txn_state string")
